@@ -1,6 +1,10 @@
 """All registered queries."""
 
-from tracelight.plans import catalog_similarity, catalog_text  # noqa: F401
+from tracelight.plans import (  # noqa: F401
+    catalog_ledger,
+    catalog_similarity,
+    catalog_text,
+)
 from tracelight.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
