@@ -382,8 +382,11 @@ def expire_content(
 def purge_payloads(calls: DataFrame, cutoff: Column) -> DataFrame:
     """Clears raw payloads older than ``cutoff``; the audit columns stay."""
     old = (F.col("created_at") < cutoff) & F.col("payload").isNotNull()
-    return calls.withColumn("payload", F.when(~old, F.col("payload"))).withColumn(
-        "purged_at", F.when(old, F.current_timestamp())
+    return calls.withColumns(
+        {
+            "payload": F.when(old, F.lit(None)).otherwise(F.col("payload")),
+            "purged_at": F.when(old, F.current_timestamp()),
+        }
     )
 
 

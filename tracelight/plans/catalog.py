@@ -3,6 +3,7 @@
 from tracelight.plans import (  # noqa: F401
     catalog_ledger,
     catalog_similarity,
+    catalog_sources,
     catalog_text,
 )
 from tracelight.plans.registry import ORACLES, QUERIES
