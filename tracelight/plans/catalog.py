@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from tracelight.plans import (  # noqa: F401
+    catalog_evidence,
     catalog_ledger,
     catalog_similarity,
     catalog_sources,
