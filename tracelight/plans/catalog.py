@@ -3,6 +3,7 @@
 from tracelight.plans import (  # noqa: F401
     catalog_evidence,
     catalog_ledger,
+    catalog_lineage,
     catalog_similarity,
     catalog_sources,
     catalog_text,

@@ -25,23 +25,29 @@ def sniff_format(content: Column) -> Column:
 def ingest_files(spark: SparkSession, path: str, max_bytes: int = 20 * 1024 * 1024) -> DataFrame:
     """(path, size, format, sha256, md5, reason): one row per file, rejected ones with a reason.
 
-    Oversize files are judged from the listing; their bytes are never hashed.
+    Oversize files are judged from the listing: the size filter is pushed into the file source, so
+    their bytes are never read.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    small = F.col("length") <= max_bytes
-    body = F.when(small, F.col("content"))
-    kind = sniff_format(body)
-    return raw.select(
+    kind = sniff_format(F.col("content"))
+    read = raw.filter(F.col("length") <= max_bytes).select(
         "path",
         F.col("length").alias("size_bytes"),
         kind.alias("format"),
-        F.sha2(body, 256).alias("sha256"),
-        F.md5(body).alias("md5"),
-        F.when(F.col("length") == 0, "EMPTY")
-        .when(~small, "TOO_LARGE")
-        .when(kind.isNull(), "UNSUPPORTED")
-        .alias("reason"),
+        F.sha2("content", 256).alias("sha256"),
+        F.md5("content").alias("md5"),
+        F.when(F.col("length") == 0, "EMPTY").when(kind.isNull(), "UNSUPPORTED").alias("reason"),
+    )
+    none = F.lit(None).cast("string")
+    skipped = raw.filter(F.col("length") > max_bytes).select(
+        "path",
+        F.col("length").alias("size_bytes"),
+        none.alias("format"),
+        none.alias("sha256"),
+        none.alias("md5"),
+        F.lit("TOO_LARGE").alias("reason"),
     )
+    return read.unionByName(skipped)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
