@@ -62,10 +62,31 @@ def count_runs(tokens: Column) -> Column:
             ),
         )
 
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("pos")))
     )
-    return F.array_sort(let(ordered, runs))
+    return F.sort_array(let(ordered, runs))
+
+
+def count_tokens(tokens: Column) -> Column:
+    """Counts per distinct token inside one row, in token order: array of (token, n)."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(
+            indexes(F.size(s)), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
+        )
+        return let(
+            starts,
+            lambda b: F.transform(
+                b,
+                lambda at, j: F.struct(
+                    F.get(s, at).alias("token"),
+                    (F.coalesce(F.get(b, j + 1), F.size(s)) - at).alias("n"),
+                ),
+            ),
+        )
+
+    return let(F.sort_array(tokens), runs)
 
 
 def first_by_key(items: Column, key: Callable[[Column], Column]) -> Column:
@@ -76,11 +97,11 @@ def first_by_key(items: Column, key: Callable[[Column], Column]) -> Column:
             s, lambda x, i: (i == 0) | (x["key"] != F.get(s, i - 1)["key"])
         )
         return F.transform(
-            F.array_sort(F.transform(firsts, lambda x: F.struct(x["pos"], x["item"]))),
+            F.sort_array(F.transform(firsts, lambda x: F.struct(x["pos"], x["item"]))),
             lambda x: x["item"],
         )
 
-    keyed = F.array_sort(
+    keyed = F.sort_array(
         F.transform(
             items,
             lambda x, i: F.struct(key(x).alias("key"), i.alias("pos"), x.alias("item")),

@@ -164,7 +164,7 @@ def call_costs(calls: DataFrame) -> DataFrame:
 def engine_notes(calls: DataFrame) -> DataFrame:
     """Per provider and version: operations in use, calls, cached, failed (timeouts included)."""
     return calls.groupBy("provider", "model_version").agg(
-        F.array_sort(F.collect_set("operation")).alias("operations"),  # a short, closed vocabulary
+        F.sort_array(F.collect_set("operation")).alias("operations"),  # a short, closed vocabulary
         F.count(F.lit(1)).alias("calls"),
         F.count_if(F.col("status") == "cached").alias("cached"),
         F.count_if(F.col("status").isin("failed", "timeout")).alias("failed"),

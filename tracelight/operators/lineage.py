@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.functions import timeparse
+from tracelight.functions.columns import let
 from tracelight.operators.rules import ALGORITHMIC
 
 # Where each field is looked up, first match wins.
@@ -176,9 +177,9 @@ def gps_positions(tags: DataFrame) -> DataFrame:
 
 
 def generator_name(text: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for pattern, label in reversed(GENERATOR_NAMES):
-        out = F.when(text.rlike("(?i)" + pattern), F.lit(label)).otherwise(out)
+    out = F
+    for pattern, label in GENERATOR_NAMES:
+        out = out.when(text.rlike("(?i)" + pattern), F.lit(label))
     return out
 
 
@@ -187,16 +188,19 @@ def generator_markers(tags: DataFrame) -> DataFrame:
     value = F.col("value")
     name = F.lower(_tag_name())
     tag = F.concat_ws(":", "grp", _tag_name())
-    keyed = F.lit(None).cast("string")
-    for key, label in GENERATOR_KEYS.items():
-        keyed = F.when(name == key, F.lit(label)).otherwise(keyed)
-    named = generator_name(value)
-    png = (
-        F.when(keyed.isNotNull(), F.coalesce(named, keyed))
-        .when(name.isin(*FREE_TEXT_KEYS) & named.isNotNull(), named)
-        .when(name.isin(*FREE_TEXT_KEYS) & value.rlike(PAYLOAD), F.lit("unspecified AI generator"))
-    )
-    found = F.when(F.col("grp") == "PNG", png).when(tag.isin(*NAMED_TAGS), named)
+    keyed = F.create_map(*[F.lit(x) for kv in GENERATOR_KEYS.items() for x in kv])[name]
+    free_text = name.isin(*FREE_TEXT_KEYS)
+
+    def judged(named: Column) -> Column:
+        png = (
+            F.when(keyed.isNotNull(), F.coalesce(named, keyed))
+            .when(free_text & named.isNotNull(), named)
+            .when(free_text & value.rlike(PAYLOAD), F.lit("unspecified AI generator"))
+        )
+        return F.when(F.col("grp") == "PNG", png).otherwise(named)
+
+    eligible = ((F.col("grp") == "PNG") & (keyed.isNotNull() | free_text)) | tag.isin(*NAMED_TAGS)
+    found = F.when(eligible, let(generator_name(value), judged))
     rows = (
         tags.filter(F.coalesce(value, F.lit("")) != "")
         .select(

@@ -32,7 +32,7 @@ def displaced_repeats(
             & (F.get(s, i)["g"] == F.get(s, i - 1)["g"])
             & (F.get(s, i)["p"] - F.get(s, i - 1)["p"] >= min_shift),
         )
-        return F.array_sort(
+        return F.sort_array(
             F.transform(
                 pairs,
                 lambda i: F.struct(
@@ -63,7 +63,7 @@ def displaced_repeats(
             ),
         )
 
-    grams = F.array_sort(
+    grams = F.sort_array(
         F.transform(
             ngrams(F.split(F.col(canonical), " "), n),
             lambda g, i: F.struct(g.alias("g"), i.alias("p")),
@@ -74,7 +74,7 @@ def displaced_repeats(
         lambda r: (r["neg_pairs"] <= -min_matches)
         & (-r["neg_pairs"] / r["span"] >= min_density),
     )
-    best = F.slice(F.array_sort(found), 1, top)
+    best = F.slice(F.sort_array(found), 1, top)
     return (
         df.select(id_col, F.posexplode_outer(best).alias("rank", "r"))
         .filter(F.col("r").isNotNull())

@@ -190,7 +190,7 @@ def punctuation_profile(df: DataFrame, text: str = "normalized", id_col: str = "
         ),
         lambda m: m["neg_n"] < 0,
     )
-    return df.select(id_col, F.posexplode_outer(F.array_sort(marks)).alias("rank", "m")).select(
+    return df.select(id_col, F.posexplode_outer(F.sort_array(marks)).alias("rank", "m")).select(
         id_col,
         F.col("m.mark").alias("mark"),
         (-F.col("m.neg_n")).alias("n"),
@@ -317,7 +317,7 @@ def distinctive_phrases(
         lambda x: x["n_words"] >= min_words,
     )
     best = F.slice(
-        first_by_key(F.array_sort(candidates), lambda x: F.lower(x["phrase"])), 1, k
+        first_by_key(F.sort_array(candidates), lambda x: F.lower(x["phrase"])), 1, k
     )
     return (
         df.select(id_col, F.posexplode_outer(best).alias("i", "p"))

@@ -120,7 +120,7 @@ def build_timeline(obs: DataFrame, t: Thresholds | None = None) -> DataFrame:
     An item's events come from its own row and are sorted inside it.
     """
     events = with_records(obs, t).withColumn("_events", _events(F.col("records")))
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         F.transform(
             "_events",
             lambda e, i: F.struct(e["event_time"].isNull().alias("undated"), e["event_time"].alias("at"), i.alias("i"), e.alias("e")),

@@ -6,6 +6,7 @@ from tracelight.plans import (  # noqa: F401
     catalog_lineage,
     catalog_similarity,
     catalog_sources,
+    catalog_streaming,
     catalog_text,
 )
 from tracelight.plans.registry import ORACLES, QUERIES

@@ -176,7 +176,7 @@ def manifest_stores(t: Tables) -> DataFrame:
     )
     # an order has a handful of lines by the table's own key
     per_order = t.lineitem.groupBy(key.alias("item_id")).agg(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", ingredient.alias("i")))).alias("xs")
+        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", ingredient.alias("i")))).alias("xs")
     ).withColumn("ingredients", F.transform("xs", lambda x: x["i"]))
     k = F.col("item_id")
     actions = F.when(
@@ -336,9 +336,11 @@ def _(t: Tables):
 # -- language and scoring -------------------------------------------------------------------------
 
 _GRAMS = """lt AS (SELECT doc_id, lang, text, trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) AS l FROM documents),
-    ch AS (SELECT doc_id, lang, string_split(l, '') AS c FROM lt WHERE l <> ''),
-    gr AS (SELECT doc_id, lang, array_to_string(c[i:i + n - 1], '') AS g, count(*) AS n
-      FROM (SELECT doc_id, lang, c, n, unnest(range(1, len(c) - n + 2)) AS i FROM ch, (VALUES (1), (2), (3)) v(n) WHERE len(c) >= n) GROUP BY 1, 2, 3),
+    ch AS (SELECT doc_id, lang, unnest(string_split(l, '')) AS c, generate_subscripts(string_split(l, ''), 1) AS i FROM lt WHERE l <> ''),
+    c3 AS (SELECT doc_id, lang, c, lead(c, 1) OVER w AS a, lead(c, 2) OVER w AS b FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    gr AS (SELECT doc_id, lang, g, count(*) AS n FROM (SELECT doc_id, lang, c AS g FROM c3
+      UNION ALL SELECT doc_id, lang, c || a FROM c3 WHERE a IS NOT NULL
+      UNION ALL SELECT doc_id, lang, c || a || b FROM c3 WHERE b IS NOT NULL) GROUP BY 1, 2, 3),
     lg AS (SELECT lang, g, sum(n)::BIGINT AS n FROM gr GROUP BY 1, 2),
     kept AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) <= 3000),
     tot AS (SELECT lang, sum(n) + count(*) AS size FROM kept GROUP BY 1),

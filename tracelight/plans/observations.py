@@ -59,7 +59,7 @@ def search_struct(matches: DataFrame, runs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("match_count"),
         F.count_if(F.coalesce("published_at", F.lit("")) != "").alias("dated_count"),
         F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "url", "published_at", "discovered_at"))),
+            F.sort_array(F.collect_list(F.struct("rank", "url", "published_at", "discovered_at"))),
             lambda x: F.struct(x["url"].alias("url"), x["published_at"].alias("published_at"),
                                x["discovered_at"].alias("discovered_at")),
         ).alias("matches"),
