@@ -68,27 +68,6 @@ def count_runs(tokens: Column) -> Column:
     return F.sort_array(let(ordered, runs))
 
 
-def count_tokens(tokens: Column) -> Column:
-    """Counts per distinct token inside one row, in token order: array of (token, n)."""
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(
-            indexes(F.size(s)), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
-        )
-        return let(
-            starts,
-            lambda b: F.transform(
-                b,
-                lambda at, j: F.struct(
-                    F.get(s, at).alias("token"),
-                    (F.coalesce(F.get(b, j + 1), F.size(s)) - at).alias("n"),
-                ),
-            ),
-        )
-
-    return let(F.sort_array(tokens), runs)
-
-
 def first_by_key(items: Column, key: Callable[[Column], Column]) -> Column:
     """Keep the first element per key of an array that is already in preference order."""
 

@@ -336,11 +336,10 @@ def _(t: Tables):
 # -- language and scoring -------------------------------------------------------------------------
 
 _GRAMS = """lt AS (SELECT doc_id, lang, text, trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) AS l FROM documents),
-    ch AS (SELECT doc_id, lang, unnest(string_split(l, '')) AS c, generate_subscripts(string_split(l, ''), 1) AS i FROM lt WHERE l <> ''),
-    c3 AS (SELECT doc_id, lang, c, lead(c, 1) OVER w AS a, lead(c, 2) OVER w AS b FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-    gr AS (SELECT doc_id, lang, g, count(*) AS n FROM (SELECT doc_id, lang, c AS g FROM c3
-      UNION ALL SELECT doc_id, lang, c || a FROM c3 WHERE a IS NOT NULL
-      UNION ALL SELECT doc_id, lang, c || a || b FROM c3 WHERE b IS NOT NULL) GROUP BY 1, 2, 3),
+    wd AS (SELECT doc_id, lang, ' ' || unnest(string_split(l, ' ')) || ' ' AS p FROM lt WHERE l <> ''),
+    wc AS (SELECT doc_id, lang, p, count(*) AS c FROM wd GROUP BY ALL),
+    gr AS (SELECT doc_id, lang, substr(p, i, n) AS g, sum(c)::BIGINT AS n
+      FROM (SELECT doc_id, lang, p, c, n, unnest(range(1, length(p) - n + 2)) AS i FROM wc, (VALUES (1), (2), (3)) v(n)) GROUP BY 1, 2, 3),
     lg AS (SELECT lang, g, sum(n)::BIGINT AS n FROM gr GROUP BY 1, 2),
     kept AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) <= 3000),
     tot AS (SELECT lang, sum(n) + count(*) AS size FROM kept GROUP BY 1),

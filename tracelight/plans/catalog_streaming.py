@@ -17,6 +17,10 @@ class Streams(Tables):
     def __getattr__(self, name: str):
         return jobs.table_stream(self.spark, self.folder, name)
 
+    @property
+    def documents(self):
+        return self.__getattr__("documents")
+
 
 def _streams(t: Tables) -> Streams:
     return Streams(t.spark, t.folder)

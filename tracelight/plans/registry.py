@@ -20,6 +20,24 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def documents(self) -> DataFrame:
+        return spread(self.__getattr__("documents"), "doc_id")
+
+    @property
+    def pages(self) -> DataFrame:
+        return spread(self.__getattr__("pages"), "page_id")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Shuffles rows by ``key`` only where the input has fewer splits than the cluster has cores.
+
+    A small table in one file would otherwise keep its whole text work on one core; a large one
+    has splits enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
 
 def flat(df: DataFrame) -> DataFrame:
     """Integers as BIGINT and decimals as DOUBLE, the types the checking SQL returns."""

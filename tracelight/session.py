@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[8]", app: str = "tracelight", **conf: str) -> SparkSession:
@@ -38,3 +39,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracelight-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+    """``df`` marked for broadcast if a count shows it is small, else as it is (shuffle join).
+
+    For stored model tables: the count reads the table, so cut its lineage first.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df
