@@ -28,17 +28,23 @@ def corpus(spark):
     # two crowded families around shared wording, loners, copies and empty texts
     found = texts(rng, 25, base, 3) + texts(rng, 25, other, 12) + [" ".join(rng.choice(WORDS, 60)) for _ in range(30)]
     found += [found[0], found[0].upper(), found[0] + "  ", "", "!!"]
+    # equal shingle sets in different order of repetition: another text, the same signature
+    found += [" ".join([*base, *base]), " ".join([*base, *base, *base])]
     df = spark.createDataFrame([(i, x, "a" if i % 2 else "b") for i, x in enumerate(found)], "doc_id long, text string, source string")
     return text_fingerprints(normalize_corpus(df), keep=("doc_id", "source")).cache()
 
 
 def brute(corpus, threshold):
-    rows = {}
+    """Stars of equal signatures, and links between centres, by comparing everything."""
+    texts, centres, pairs = {}, {}, {}
     for r in sorted(corpus.collect(), key=lambda r: r.doc_id):
         if r.sig[0] != 1 << 32:
-            rows.setdefault(r.canonical_sha256, r)
-    pairs = {}
-    for a, b in combinations(rows.values(), 2):
+            texts.setdefault(r.canonical_sha256, r)
+    for r in texts.values():
+        centre = centres.setdefault(tuple(r.sig), r)
+        if centre.doc_id != r.doc_id:
+            pairs[centre.doc_id, r.doc_id] = 1.0
+    for a, b in combinations(centres.values(), 2):
         same = sum(x == y for x, y in zip(a.sig, b.sig)) / 64
         if same >= threshold:
             pairs[a.doc_id, b.doc_id] = same
