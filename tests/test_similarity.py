@@ -91,13 +91,19 @@ def test_hamming_finds_exactly_the_close_pairs(spark):
             hashes.append(int(h) ^ mask)
     rows = [(i, f"s{i}", int(h), int(rng.integers(-(2**62), 2**62)), 0) for i, h in enumerate(hashes)]
     fp = spark.createDataFrame(rows, "item_id long, sha256 string, phash long, dhash long, ahash long")
-    got = {(r.id_a, r.id_b) for r in percept.hamming_neighbors(fp).collect()}
+    rows += [(1000 + i, f"s{i}" if i % 2 else f"t{i}", rows[i][2], 7, 0) for i in range(6)]
+    fp = spark.createDataFrame(rows, "item_id long, sha256 string, phash long, dhash long, ahash long")
+    partners = percept.expand_neighbors(percept.hamming_neighbors(fp), fp, fp).collect()
+    got = {(r.item_id, r.other) for r in partners if r.item_id < r.other}
+    assert {(r.other, r.item_id) for r in partners if r.item_id > r.other} == got
 
     def distance(x, y):
         return bin((x ^ y) & (2**64 - 1)).count("1")
 
     want = {
-        (a[0], b[0]) for a, b in combinations(rows, 2) if min(distance(a[2], b[2]), distance(a[3], b[3])) <= 10
+        (a[0], b[0])
+        for a, b in combinations(rows, 2)
+        if a[1] == b[1] or min(distance(a[2], b[2]), distance(a[3], b[3])) <= 10
     }
     assert got == want
 

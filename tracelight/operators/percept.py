@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -95,7 +96,7 @@ def _hash_pairs(hashes: DataFrame, near: int, by: list[str], bands: int) -> Data
     """
     bits = 64 // bands
     masks = F.array(*[F.lit(m).cast("long") for m in _probe_masks(bits, near // bands)])
-    # mix the other slices' parity in is not possible; the band number keeps slices apart
+
     def slice_of(h: Column, band: int) -> Column:
         return F.shiftrightunsigned(h, band * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
@@ -128,55 +129,74 @@ def _hash_pairs(hashes: DataFrame, near: int, by: list[str], bands: int) -> Data
 def hamming_neighbors(
     fp: DataFrame, near: int = 10, id_col: str = "item_id", owner: str | None = None, bands: int = 4
 ) -> DataFrame:
-    """Looks-alike groups: (id_a, id_b, relation, distances, score), best score first per pair.
+    """Links between groups of equal hashes: (hash, id_a, id_b, distance, members_a, members_b).
 
-    Items are first collapsed to one row per (sha256, hashes): an 'exact' row links a group of
-    identical files to its smallest member once per file, a 'near' row links two groups whose
-    phash or dhash is at most ``near`` bits apart. Distinct hash values, not items, are paired.
+    A group is named by its smallest item. ``hash`` says which value agrees: 'sha256' (the same
+    file), 'phash' or 'dhash' (at most ``near`` bits apart). A group with company links to itself
+    at distance 0. Two items are exact copies if they share a sha256 group, and near if a phash or
+    dhash link joins their groups, so flat pictures that share one hash by the million are one
+    row, not all their pairs. ``expand_neighbors`` lists the partners of chosen items.
     """
     by = [owner] if owner else []
-    reps = fp.groupBy(*by, "sha256", "phash", "dhash", "ahash").agg(F.min(id_col).alias("rep"))
-    copies = (
-        fp.join(reps.select(*by, "sha256", "rep"), [*by, "sha256"])
-        .filter(F.col(id_col) != F.col("rep"))
-        .select(
-            *by,
-            F.col("rep").alias("id_a"),
-            F.col(id_col).alias("id_b"),
-            F.lit("exact").alias("relation"),
-            *[F.lit(0).alias(f"{h}_distance") for h in ("phash", "dhash", "ahash")],
-            F.lit(0).alias("score"),
+
+    def groups(column: str) -> DataFrame:
+        return fp.groupBy(*by, F.col(column).alias("h")).agg(
+            F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n")
         )
-    )
+
+    def own(column: str) -> DataFrame:
+        return groups(column).filter(F.col("n") > 1).select(
+            *by, F.lit(column).alias("hash"), F.col("rep").alias("id_a"), F.col("rep").alias("id_b"),
+            F.lit(0).alias("distance"), F.col("n").alias("members_a"), F.col("n").alias("members_b"),
+        )
 
     def linked(column: str) -> DataFrame:
-        values = reps.select(*by, F.col(column).alias("h")).distinct()
-        pairs = _hash_pairs(values, near, by, bands).unionByName(
-            values.select(*by, F.col("h").alias("h_a"), F.col("h").alias("h_b"))
-        )
-        a = reps.select(*by, F.col(column).alias("h_a"), F.col("rep").alias("id_a"))
-        b = reps.select(*by, F.col(column).alias("h_b"), F.col("rep").alias("id_b"))
-        joined = pairs.join(a, [*by, "h_a"]).join(b, [*by, "h_b"])
-        return joined.filter(F.col("id_a") != F.col("id_b")).select(
+        values = groups(column)
+        a = values.select(*by, F.col("h").alias("h_a"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a"))
+        b = values.select(*by, F.col("h").alias("h_b"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b"))
+        joined = _hash_pairs(values.select(*by, "h"), near, by, bands).join(a, [*by, "h_a"]).join(b, [*by, "h_b"])
+        forward = F.col("rep_a") < F.col("rep_b")
+        return joined.select(
             *by,
-            F.least("id_a", "id_b").alias("id_a"),
-            F.greatest("id_a", "id_b").alias("id_b"),
+            F.lit(column).alias("hash"),
+            F.least("rep_a", "rep_b").alias("id_a"),
+            F.greatest("rep_a", "rep_b").alias("id_b"),
+            hamming(F.col("h_a"), F.col("h_b")).alias("distance"),
+            F.when(forward, F.col("n_a")).otherwise(F.col("n_b")).alias("members_a"),
+            F.when(forward, F.col("n_b")).otherwise(F.col("n_a")).alias("members_b"),
         )
 
-    pairs = linked("phash").unionByName(linked("dhash")).distinct()
-    side_a = reps.select(F.col("rep").alias("id_a"), *[F.col(h).alias(f"{h}_a") for h in ("phash", "dhash", "ahash")])
-    side_b = reps.select(F.col("rep").alias("id_b"), *[F.col(h).alias(f"{h}_b") for h in ("phash", "dhash", "ahash")])
-    measured = pairs.join(side_a, "id_a").join(side_b, "id_b")
-    for h in ("phash", "dhash", "ahash"):
-        measured = measured.withColumn(
-            f"{h}_distance", hamming(F.col(f"{h}_a"), F.col(f"{h}_b"))
-        )
-    near_rows = measured.select(
-        *by,
-        "id_a",
-        "id_b",
-        F.lit("near").alias("relation"),
-        *[f"{h}_distance" for h in ("phash", "dhash", "ahash")],
-        (F.col("phash_distance") + F.col("dhash_distance")).alias("score"),
+    parts = [own("sha256"), own("phash"), own("dhash"), linked("phash"), linked("dhash")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def expand_neighbors(
+    links: DataFrame, fp: DataFrame, items: DataFrame, id_col: str = "item_id", owner: str | None = None
+) -> DataFrame:
+    """Partners of the chosen ``items``: (item, other, relation, distances, score), best first by
+    score. Exact copies score 0, others the sum of both distances."""
+    by = [owner] if owner else []
+    hashes = ["phash", "dhash", "ahash"]
+    chosen = fp.join(items.select(id_col).distinct(), id_col, "left_semi")
+    found = []
+    for column in ("sha256", "phash", "dhash"):
+        reps = fp.groupBy(*by, column).agg(F.min(id_col).alias("rep"))
+        mine = chosen.join(reps, [*by, column]).select(id_col, *by, F.col("rep").alias("from"))
+        rows = links.filter(F.col("hash") == column)
+        ways = rows.select(F.col("id_a").alias("from"), F.col("id_b").alias("rep")).unionByName(
+            rows.select(F.col("id_b").alias("from"), F.col("id_a").alias("rep"))
+        ).distinct()
+        members = fp.join(reps, [*by, column]).select(F.col(id_col).alias("other"), "rep")
+        found.append(mine.join(ways, "from").join(members, "rep").select(id_col, "other"))
+    pairs = reduce(DataFrame.unionByName, found).filter(F.col(id_col) != F.col("other")).distinct()
+    side = fp.select(F.col(id_col).alias("other"), F.col("sha256").alias("_s"), *[F.col(h).alias(f"_{h}") for h in hashes])
+    joined = pairs.join(chosen.select(id_col, "sha256", *hashes), id_col).join(side, "other")
+    same = F.col("sha256") == F.col("_s")
+    distance = {h: hamming(F.col(h), F.col(f"_{h}")) for h in hashes}
+    return joined.select(
+        id_col,
+        "other",
+        F.when(same, "exact").otherwise("near").alias("relation"),
+        *[d.alias(f"{h}_distance") for h, d in distance.items()],
+        F.when(same, 0).otherwise(distance["phash"] + distance["dhash"]).alias("score"),
     )
-    return copies.unionByName(near_rows)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelight.functions.columns import indexes
 from tracelight.operators import graph, language, lineage, outliers
 from tracelight.operators.text import canonicalize, normalize_corpus
 from tracelight.plans.derive import fp_sql
@@ -164,20 +165,20 @@ def _(t: Tables):
 
 
 def manifest_stores(t: Tables) -> DataFrame:
-    """One manifest store per order in JSON: its lines are the ingredients of the active manifest."""
-    key = F.col("l_orderkey")
-    bad = F.col("l_quantity") > 40
-    status = F.array(F.struct(F.when(bad, "assertion.hashedURI.mismatch").otherwise("assertion.dataHash.match").alias("code"), F.lit("x").alias("explanation")))
-    ingredient = F.struct(
-        F.concat_ws("/", key, F.col("l_linenumber")).alias("title"),
-        F.concat(F.lit("urn:"), key, F.lit("/"), F.col("l_linenumber")).alias("active_manifest"),
-        F.lit("componentOf").alias("relationship"),
-        status.alias("validation_status"),
+    """One manifest store per order in JSON, with (key % 6) ingredients; every fifth one failed."""
+
+    def ingredient(i):
+        label = F.concat(F.lit("urn:"), F.col("item_id"), F.lit("/"), i)
+        code = F.when((F.col("item_id") + i) % 5 == 0, "assertion.hashedURI.mismatch").otherwise("assertion.dataHash.match")
+        return F.struct(
+            label.alias("title"), label.alias("active_manifest"), F.lit("componentOf").alias("relationship"),
+            F.array(F.struct(code.alias("code"), F.lit("x").alias("explanation"))).alias("validation_status"),
+        )
+
+    n = (F.col("item_id") % 6).cast("int")
+    per_order = t.orders.select(F.col("o_orderkey").alias("item_id")).withColumn(
+        "ingredients", F.transform(indexes(n), lambda i: ingredient(i + 1))
     )
-    # an order has a handful of lines by the table's own key
-    per_order = t.lineitem.groupBy(key.alias("item_id")).agg(
-        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", ingredient.alias("i")))).alias("xs")
-    ).withColumn("ingredients", F.transform("xs", lambda x: x["i"]))
     k = F.col("item_id")
     actions = F.when(
         k % 2 == 0,
@@ -199,11 +200,13 @@ def manifest_stores(t: Tables) -> DataFrame:
 
 @query(
     "flatten_manifests",
-    """SELECT l_orderkey AS item_id, 2::BIGINT AS manifest_count, count(*) AS ingredient_count, count(*) FILTER (l_quantity > 40) AS ingredient_failures,
-      CASE WHEN l_orderkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS action_count, CASE WHEN l_orderkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS agent_count,
-      CASE WHEN l_orderkey % 2 = 0 THEN 'trainedAlgorithmicMedia' ELSE '' END AS source_types, l_orderkey % 3 = 0 AS training,
-      l_orderkey % 5 = 0 AS identity_present, 'sha256' AS hash_alg, 1::BIGINT AS excluded_ranges, l_orderkey % 7 <> 0 AS valid_signature,
-      count(*) AS edges FROM lineitem GROUP BY 1""",
+    """WITH k AS (SELECT o_orderkey AS k FROM orders)
+    SELECT k AS item_id, 2::BIGINT AS manifest_count, k % 6 AS ingredient_count,
+      len(list_filter(range(1, k % 6 + 1), lambda i: (k + i) % 5 = 0))::BIGINT AS ingredient_failures,
+      CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS action_count, CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS agent_count,
+      CASE WHEN k % 2 = 0 THEN 'trainedAlgorithmicMedia' ELSE '' END AS source_types, k % 3 = 0 AS training,
+      k % 5 = 0 AS identity_present, 'sha256' AS hash_alg, 1::BIGINT AS excluded_ranges, k % 7 <> 0 AS valid_signature,
+      nullif(k % 6, 0) AS edges FROM k""",
 )
 def _(t: Tables):
     flat = lineage.flatten_manifests(manifest_stores(t))
@@ -217,7 +220,7 @@ def _(t: Tables):
 
 @query(
     "flatten_manifest_actions",
-    """WITH k AS (SELECT DISTINCT l_orderkey AS k FROM lineitem)
+    """WITH k AS (SELECT o_orderkey AS k FROM orders)
     SELECT k AS item_id, 0::BIGINT AS position, CASE WHEN k % 2 = 0 THEN 'c2pa.created' ELSE 'c2pa.opened' END AS action, 'Tool' AS agent, NULL AS version FROM k
     UNION ALL SELECT k, 1, 'c2pa.edited', 'Ed', '2' FROM k WHERE k % 2 = 0""",
 )

@@ -55,6 +55,8 @@ def flat(df: DataFrame) -> DataFrame:
 def query(name: str, oracle: str | None = None):
     def register(build: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            # recorded times are UTC throughout; a driver-wide zone would shift them
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return flat(build(Tables(spark, folder)))
 
         QUERIES[name] = run
