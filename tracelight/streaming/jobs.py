@@ -7,6 +7,7 @@ one folder per micro-batch, so a replayed batch overwrites itself.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -40,7 +41,7 @@ def scratch(spark: SparkSession) -> str:
     """A new folder for sinks and offsets, in the cluster's shared folder where it names one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
+        return f"{shared.rstrip('/')}/stream-{uuid.uuid4()}"
     return tempfile.mkdtemp(prefix="tracelight-stream-")
 
 
