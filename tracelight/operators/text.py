@@ -128,6 +128,7 @@ def text_statistics(df: DataFrame, text: str = "normalized") -> DataFrame:
         df.withColumn("_words", T.words(body))
         .withColumn("_sentences", T.sentences(body))
         .withColumn("_lengths", F.transform("_sentences", lambda s: F.size(T.words(s))))
+        .withColumn("_unique", F.size(F.array_distinct(F.transform("_words", F.lower))))
         .withColumn("paragraph_count", F.size(T.paragraphs(body)))
         .withColumn("_punct", T.char_count(body, T.PUNCTUATION))
         .withColumn("character_count", F.length(body))
@@ -146,10 +147,8 @@ def text_statistics(df: DataFrame, text: str = "normalized") -> DataFrame:
         n_chars.alias("character_count"),
         F.length(F.regexp_replace(body, T.SPACE, "")).alias("character_count_no_spaces"),
         n_words.alias("word_count"),
-        F.size(F.array_distinct(F.transform(words, F.lower))).alias("unique_word_count"),
-        ratio(F.size(F.array_distinct(F.transform(words, F.lower))), n_words, 4).alias(
-            "type_token_ratio"
-        ),
+        F.col("_unique").alias("unique_word_count"),
+        ratio(F.col("_unique"), n_words, 4).alias("type_token_ratio"),
         n_sent.alias("sentence_count"),
         F.col("paragraph_count"),
         F.when(body == "", 0).otherwise(T.char_count(body, "\n") + 1).alias("line_count"),
