@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,17 +29,27 @@ def build_session(master: str = "local[8]", app: str = "tracelight", **conf: str
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so a lost executor never restarts an iterative job from its scan.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``.
 
-    The directory is the shared one the cluster names in ``spark.checkpoint.dir``; only a
-    session that names none (a test) gets a private folder.
+    Only a session on a local master (a test) that names none gets a private folder, which is
+    removed at exit; on a cluster executors would each write to their own disk, so it raises.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracelight-checkpoint-"))
+        if shared is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="tracelight-checkpoint-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, so a lost executor never restarts an iterative job from its scan."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
