@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm import context_mixing, lsh_forest, packing, token_counts
+from tracelight.llm import (
+    context_mixing,
+    lsh_forest,
+    packing,
+    quality_rules,
+    token_counts,
+    url_model,
+    winnowing,
+)
 from tracelight.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,11 +27,39 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
     return build
 
 
+#: Host and path prefixes of the contract.
+URL_RULES = {
+    "net/": "block",
+    "example.net/en/": "allow",
+    "example.com/de/": "block",
+    "org/fr/": "allow",
+}
+
+
+@query
+def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_model.filter_urls(table(spark, folder, "pages"), URL_RULES)
+
+
+@query
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.apply_quality_rules(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+
+
 @query
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+@query
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return winnowing.decontaminate(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
 @query
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"))
