@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelight.llm import (
     context_mixing,
+    language_codes,
     lsh_forest,
     packing,
     quality_rules,
@@ -27,6 +28,14 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
     return build
 
 
+@query
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    part = fold(F.col("doc_id"))
+    model = language_codes.train(docs.filter(part != 0), part == 1)
+    return language_codes.predict_language(docs, model).withColumn("held_out", part == 0)
+
+
 #: Host and path prefixes of the contract.
 URL_RULES = {
     "net/": "block",
