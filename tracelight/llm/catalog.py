@@ -12,6 +12,7 @@ from tracelight.llm import (
     language_codes,
     lsh_forest,
     packing,
+    pii_segments,
     quality_rules,
     token_counts,
     url_model,
@@ -50,6 +51,12 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_model.filter_urls(table(spark, folder, "pages"), URL_RULES)
 
 
+@query
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii_segments.find_personal_data(docs, pii_segments.train(docs))
+
+
 @query
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.apply_quality_rules(
