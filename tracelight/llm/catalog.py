@@ -14,6 +14,7 @@ from tracelight.llm import (
     packing,
     pii_segments,
     quality_rules,
+    secret_forest,
     token_counts,
     url_model,
     winnowing,
@@ -81,6 +82,11 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"))
 
 
+@query
+def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_forest.scan_secrets(table(spark, folder, "documents"))
+
+
 @query
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, folder, "documents"), width=2)
