@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelight.functions.columns import indexes, let
@@ -125,7 +125,7 @@ def window_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     marks = stored(marks)
     if marks.isEmpty():
-        return docs.sparkSession.createDataFrame([], HITS)
+        return no_hits(docs.sparkSession)
     masks, bits = bitmap(marks.select("h").distinct())
     near = F.filter(fingerprints(F.col("words")), lambda m: in_bitmap(hash_of(m), masks, bits))
     packed = F.transform(
@@ -149,13 +149,15 @@ def window_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     return spans.filter(F.col("length") >= WINDOW)
 
 
-HITS = "doc_id long, item_id long, start int, length int"
+def no_hits(spark: SparkSession) -> DataFrame:
+    kinds = {"doc_id": "long", "item_id": "long", "start": "int", "length": "int"}
+    return spark.range(0).select(*[F.col("id").cast(k).alias(n) for n, k in kinds.items()])
 
 
 def short_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Spans of documents that equal a whole item of fewer than WINDOW words."""
     short = items.filter((F.size("words") > 0) & (F.size("words") < WINDOW))
-    out = docs.sparkSession.createDataFrame([], HITS)
+    out = no_hits(docs.sparkSession)
     for (n,) in sorted(short.select(F.size("words")).distinct().collect()):  # at most 9 lengths
         own = stored(
             short.filter(F.size("words") == n).select(
