@@ -63,7 +63,7 @@ def main() -> None:
     if args[:1] == ["--sf"]:
         sf, args = args[1], args[2:]
     folder = f"/root/testdata/sf{sf}"
-    spark, con = build_session(), connect(folder)
+    spark, con = build_session("local[8]"), connect(folder)
     all_queries, oracles = queries(), oracle_sql()
     names = [n for n in all_queries if not args or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in args)]
     bad = 0

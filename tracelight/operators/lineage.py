@@ -72,7 +72,6 @@ NAMED_TAGS = [
     "EXIF:Software", "EXIF:ImageDescription", "EXIF:UserComment", "XMP:CreatorTool",
     "XMP:Description", "XMP:Credit",
 ]
-MAX_EDITS = 50
 
 
 def _tag_name() -> Column:
@@ -97,7 +96,7 @@ def normalize_tags(tags: DataFrame) -> DataFrame:
     )
     fields = {
         name: F.nullif(
-            F.substring(F.trim(F.coalesce(*[F.col(f"`{k}`") for k in keys])), 1, 200), F.lit("")
+            F.trim(F.coalesce(*[F.col(f"`{k}`") for k in keys])), F.lit("")
         )
         for name, keys in PRECEDENCE.items()
     }
@@ -108,17 +107,20 @@ def normalize_tags(tags: DataFrame) -> DataFrame:
         "gps_present",
         "tag_count",
     )
-    zoned = F.when(
-        ~timeparse.tz_known(F.col("captured_raw")),
-        F.concat("captured_raw", F.coalesce("captured_offset", F.lit(""))),
-    ).otherwise(F.col("captured_raw"))
+
+    def with_offset(raw: str, offset: str) -> Column:
+        """The raw time with its offset tag, unless it names a zone itself."""
+        joined = F.concat(raw, F.coalesce(offset, F.lit("")))
+        return F.when(~timeparse.tz_known(F.col(raw)), joined).otherwise(F.col(raw))
+
+    zoned = with_offset("captured_raw", "captured_offset")
     return out.withColumns(
         {
             "orientation": F.col("orientation").try_cast("int"),
             "source_type": short_source_type(F.col("source_type")),
             "captured_at": timeparse.instant(zoned),
             "captured_tz_known": timeparse.tz_known(zoned),
-            "modified_at": timeparse.instant(F.concat("modified_raw", F.coalesce("modified_offset", F.lit("")))),
+            "modified_at": timeparse.instant(with_offset("modified_raw", "modified_offset")),
         }
     )
 
@@ -230,14 +232,14 @@ def edit_history(tags: DataFrame) -> DataFrame:
         "array<map<string,string>>",
     )
     lowered = F.transform(
-        F.slice(entries, 1, MAX_EDITS),
+        entries,
         lambda m: F.map_from_entries(
             F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
         ),
     )
 
-    def text(key: str, limit: int) -> Column:
-        return F.nullif(F.substring(F.trim(F.col("m")[key]), 1, limit), F.lit(""))
+    def text(key: str) -> Column:
+        return F.nullif(F.trim(F.col("m")[key]), F.lit(""))
 
     return (
         tags.filter((F.col("grp") == "XMP") & (F.lower(_tag_name()) == "history"))
@@ -245,10 +247,10 @@ def edit_history(tags: DataFrame) -> DataFrame:
         .select(
             "item_id",
             "position",
-            text("action", 40).alias("action"),
-            text("softwareagent", 200).alias("software"),
-            text("when", 64).alias("when"),
-            text("changed", 80).alias("changed"),
+            text("action").alias("action"),
+            text("softwareagent").alias("software"),
+            text("when").alias("when"),
+            text("changed").alias("changed"),
         )
         .filter(F.col("action").isNotNull())
         .withColumns(
@@ -262,7 +264,7 @@ def edit_history(tags: DataFrame) -> DataFrame:
 
 def short_source_type(uri: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(F.trim(uri), "^" + SOURCE_TYPE_PREFIX, ""), "/+$", "")
-    return F.substring(F.element_at(F.split(bare, "/"), -1), 1, 80)
+    return F.element_at(F.split(bare, "/"), -1)
 
 
 def source_types(df: DataFrame, uri: str = "uri") -> DataFrame:
@@ -319,7 +321,6 @@ _AGENT = "struct<name:string,version:string>"
 ACTION_LABELS = ["c2pa.actions", "c2pa.actions.v2"]
 TRAINING_LABELS = ["c2pa.training-mining", "cawg.training-mining"]
 HASH_LABELS = ["c2pa.hash.data", "c2pa.hash.boxes", "c2pa.hash.bmff", "c2pa.hash.bmff.v2"]
-MAX_AGENTS = 50
 
 
 class ManifestTables(NamedTuple):
@@ -334,7 +335,7 @@ def flatten_manifests(raw: DataFrame) -> ManifestTables:
     """Raw manifest JSON (item_id, store) as flat tables.
 
     summary: one row per item; actions: (item, position, action, when, agent, source_type);
-    agents: distinct (item, name, version), 50 per item at most; edges: (item, parent, child)
+    agents: distinct (item, name, version); edges: (item, parent, child)
     manifest labels; codes: (item, code, explanation).
     """
     parsed = raw.select("item_id", F.from_json("store", STORE).alias("s"))
@@ -376,7 +377,7 @@ def flatten_manifests(raw: DataFrame) -> ManifestTables:
             lambda x: F.coalesce(x["name"], F.lit("")) != "",
         )
     )
-    agents = base.select("item_id", F.explode_outer(F.slice(named, 1, MAX_AGENTS)).alias("g")).filter(
+    agents = base.select("item_id", F.explode_outer(named).alias("g")).filter(
         F.col("g").isNotNull()
     ).select("item_id", "g.name", "g.version")
     edges = (
@@ -413,7 +414,7 @@ def flatten_manifests(raw: DataFrame) -> ManifestTables:
         F.coalesce(F.size("a.ingredients"), F.lit(0)).alias("ingredient_count"),
         F.coalesce(bad_ingredients, F.lit(0)).alias("ingredient_failures"),
         F.coalesce(F.size(action_lists), F.lit(0)).alias("action_count"),
-        F.size(F.slice(named, 1, MAX_AGENTS)).alias("agent_count"),
+        F.size(named).alias("agent_count"),
         F.array_compact(
             F.transform(action_lists, lambda x: F.when(F.trim(x["digitalSourceType"]) != "", short_source_type(x["digitalSourceType"])))
         ).alias("source_types"),

@@ -10,7 +10,6 @@ from tracelight.operators.evidence import has_rule, level_of, with_records
 from tracelight.operators.rules import is_true
 from tracelight.thresholds import Thresholds
 
-MAX_EDITS = 50
 
 
 def _event(kind: Column, certainty: Column, text: Column, source: str, raw: Column, rule: Column,
@@ -87,7 +86,7 @@ def _events(records: Column) -> Column:
         recorded("modified", "metadata.modified", "Modification time in metadata.", "metadata.modified"),
         recorded("gps", "metadata.gps_time", "Receiver time in metadata.", "metadata.gps"),
         many(
-            F.slice(m["edit_history"], 1, MAX_EDITS),
+            m["edit_history"],
             lambda x: lit(True),
             lambda x: _event(lit("metadata.edit"), edit_level,
                              F.concat(lit("Edit: "), F.coalesce(x["action"], lit("edit")), lit(".")),

@@ -344,7 +344,7 @@ _GRAMS = """lt AS (SELECT doc_id, lang, text, trim(regexp_replace(lower(text), '
     gr AS (SELECT doc_id, lang, substr(p, i, n) AS g, sum(c)::BIGINT AS n
       FROM (SELECT doc_id, lang, p, c, n, unnest(range(1, length(p) - n + 2)) AS i FROM wc, (VALUES (1), (2), (3)) v(n)) GROUP BY 1, 2, 3),
     lg AS (SELECT lang, g, sum(n)::BIGINT AS n FROM gr GROUP BY 1, 2),
-    kept AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) <= 3000),
+    kept AS (SELECT * FROM lg),
     tot AS (SELECT lang, sum(n) + count(*) AS size FROM kept GROUP BY 1),
     prof AS (SELECT kept.lang, g, (floor(ln((n + 1) / size) * 1e6 + 0.5) - floor(ln(1.0::DOUBLE / size) * 1e6 + 0.5))::BIGINT AS gain,
       floor(ln(1.0::DOUBLE / size) * 1e6 + 0.5)::BIGINT AS unseen FROM kept JOIN tot USING (lang))"""

@@ -202,7 +202,7 @@ def _(t: Tables):
     SELECT item_id, count(*) AS match_count, min(similarity) AS similarity_min, max(similarity) AS similarity_max,
       count(published_at) AS dated_count, epoch(min(pub))::BIGINT AS earliest_at, arg_min(url, (pub, rank)) FILTER (pub IS NOT NULL) AS earliest_url,
       (SELECT count(*) FROM d WHERE d.item_id = h.item_id) AS domain_count,
-      (SELECT string_agg(host, ',' ORDER BY i) FROM d WHERE d.item_id = h.item_id AND i <= 20) AS domains,
+      (SELECT string_agg(host, ',' ORDER BY i) FROM d WHERE d.item_id = h.item_id) AS domains,
       (SELECT string_agg(source_kind || '=' || n, ',' ORDER BY source_kind) FROM k WHERE k.item_id = h.item_id) AS kinds
     FROM h GROUP BY item_id""",
 )

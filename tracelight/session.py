@@ -10,18 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def build_session(master: str = "local[8]", app: str = "tracelight", **conf: str) -> SparkSession:
-    """A session with the settings every operator here assumes; extra ``conf`` wins."""
+def build_session(master: str | None = None, app: str = "tracelight", **conf: str) -> SparkSession:
+    """A session with the settings every operator here assumes; extra ``conf`` wins.
+
+    Without ``master`` the cluster's own settings hold (spark-submit). A master given here is one
+    of tests and benchmarks: it also gets few shuffle partitions and no user interface.
+    """
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
-        "spark.ui.enabled": "false",
-        "spark.driver.memory": "12g",
-        **conf,
     }
-    builder = SparkSession.builder.master(master).appName(app)
+    builder = SparkSession.builder.appName(app)
+    if master is not None:
+        builder = builder.master(master)
+        settings |= {
+            "spark.sql.shuffle.partitions": "8",
+            "spark.ui.enabled": "false",
+            "spark.driver.memory": "12g",
+        }
+    settings |= conf
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -53,9 +61,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """``df`` marked for broadcast if a count shows it is small, else as it is (shuffle join).
+def small_side(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its measured bytes are few, else as it is (shuffle join).
 
-    For stored model tables: the count reads the table, so cut its lineage first.
+    For stored model tables of numbers and strings: measuring reads the table, so cut its lineage
+    first. A row counts 16 bytes a column and the bytes of its strings.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    fixed = F.lit(16 * len(df.columns))
+    strings = [F.coalesce(F.octet_length(n), F.lit(0)) for n, kind in df.dtypes if kind == "string"]
+    total = df.agg(F.sum(sum(strings, fixed)).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if total <= max_bytes else df

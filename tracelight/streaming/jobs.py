@@ -6,11 +6,13 @@ one folder per micro-batch, so a replayed batch overwrites itself.
 
 from __future__ import annotations
 
-import tempfile
+import sys
 import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +21,10 @@ from pyspark.sql.types import StructType
 from tracelight.operators.fingerprints import text_fingerprints
 from tracelight.operators.ledger import due_items
 from tracelight.operators.text import admit_documents, normalize_corpus
+from tracelight.session import checkpoint_folder
+
+# the limiter's code travels by value: workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,22 +33,23 @@ def table_stream(
     spark: SparkSession, folder: str, name: str, files_per_trigger: int = 64
 ) -> DataFrame:
     """The parquet files of one table as a stream; the trigger bound also bounds what one key can
-    bring into one micro-batch."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+    bring into one micro-batch.
+
+    The table is a folder of part files, or one file, which is picked out of its folder.
+    """
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.getFileStatus(target).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for sinks and offsets, in the cluster's shared folder where it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/stream-{uuid.uuid4()}"
-    return tempfile.mkdtemp(prefix="tracelight-stream-")
+    """A new folder for sinks and offsets below the cluster's shared folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/stream-{uuid.uuid4()}"
 
 
 def run_available(
@@ -51,11 +58,16 @@ def run_available(
     mode: str = "append",
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """Processes everything available, then reads the sink back with its ``batch`` column."""
+    """Processes everything available, then reads the sink back with its ``batch`` column.
+
+    A stream without rows gives an empty table of the same columns.
+    """
     spark = stream.sparkSession
+    ran: list[int] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
         prepare(batch).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        ran.append(batch_id)
 
     query = (
         stream.writeStream.outputMode(mode)
@@ -65,13 +77,23 @@ def run_available(
         .start()
     )
     query.awaitTermination()
+    if not ran and not sink_exists(spark, f"{folder}/rows"):
+        nothing = prepare(spark.createDataFrame([], stream.schema))
+        return nothing.withColumn("batch", F.lit(0))
     return spark.read.parquet(f"{folder}/rows")
 
 
-def latest_by_key(rows: DataFrame, *keys: str) -> DataFrame:
-    """The newest version of every key from a sink of updates."""
+def sink_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def latest_by_key(rows: DataFrame, *keys: str, version: str | None = None) -> DataFrame:
+    """The newest row of every key from a sink of updates: of the last batch, in it of the highest
+    ``version``; rows that tie on both are told apart by hash, so a replay picks the same one."""
     rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = F.max_by(F.struct(*rest), "batch").alias("_r")
+    order = [F.col("batch"), *([F.col(version)] if version else []), F.xxhash64(*rest)]
+    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")
     return rows.groupBy(*keys).agg(newest).select(*keys, "_r.*")
 
 
@@ -81,12 +103,17 @@ DECISIONS = "key bigint, event_id bigint, t bigint, allowed boolean, remaining i
 
 
 def decide(hits: list[int], t: int, limit: int, window_us: int) -> tuple[list[int], bool, int, int]:
-    """One attempt at time ``t`` (microseconds) against the accepted ``hits`` of its key."""
-    kept = [h for h in hits if h > t - window_us]
-    if len(kept) < limit:
-        return [*kept, t], True, limit - len(kept), 0
-    wait = max(1, int((kept[0] + window_us - t) / 1_000_000 + 0.999))
-    return kept, False, 0, wait
+    """One attempt at time ``t`` (microseconds) against the sorted accepted ``hits`` of its key.
+
+    (hits still in the window, allowed, attempts left before this one, whole seconds until the
+    oldest hit leaves the window, rounded up).
+    """
+    inside = hits[bisect_right(hits, t - window_us) :]
+    room = limit - len(inside)
+    if room > 0:
+        return [*inside, t], True, room, 0
+    left_us = inside[0] - (t - window_us)
+    return inside, False, 0, -(-left_us // 1_000_000)
 
 
 def _limiter(limit: int, window_us: int) -> StatefulProcessor:
