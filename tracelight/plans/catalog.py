@@ -8,6 +8,7 @@ from tracelight.plans import (  # noqa: F401
     catalog_sources,
     catalog_streaming,
     catalog_text,
+    catalog_text_path,
 )
 from tracelight.plans.registry import ORACLES, QUERIES
 
