@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,9 +151,13 @@ def every(parts: list[Column]) -> Column:
 def binned(labelled: DataFrame) -> tuple[DataFrame, dict[str, list[float]]]:
     """One row per distinct vector of bins with its counts, stored; and the thresholds."""
     values = stored(labelled.select("bad", "fold", *[feature(f).alias(f) for f in FEATURES]))
-    probabilities = [k / BINS for k in range(1, BINS)]
-    found = values.approxQuantile(FEATURES, probabilities, 0.002) or [[] for _ in FEATURES]
-    thresholds = {f: sorted(set(q)) for f, q in zip(FEATURES, found, strict=True)}
+    probabilities = [k / BINS for k in range(BINS)] + [0.99, 0.995, 0.999, 1.0]
+    found = values.approxQuantile(FEATURES, probabilities, 0.0005) or [[] for _ in FEATURES]
+    # half-way between values, so that a rule keeps its distance from what it was learned on
+    thresholds = {
+        f: [(a + b) / 2 for a, b in pairwise(sorted(set(q)))]
+        for f, q in zip(FEATURES, found, strict=True)
+    }
 
     def bin_of(f: str) -> Column:
         limits = F.array(*map(F.lit, thresholds[f])).cast("array<double>")
