@@ -15,6 +15,7 @@ from tracelight.operators.running import (
     previous_value,
     running_before,
 )
+from tracelight.session import cut_lineage
 
 ALLOWED_MOVES = {"queued": ["processing", "failed"], "processing": ["completed", "failed"]}
 
@@ -262,9 +263,12 @@ def cache_stats(cache: DataFrame, now: Column) -> DataFrame:
 
 
 def dedupe_requests(calls: DataFrame) -> DataFrame:
-    """Marks all calls after the first of their content key as cached, at no cost."""
-    first = calls.groupBy("content_key").agg(
-        F.min(F.struct("created_at", "call_id")).alias("_first")
+    """Marks all calls after the first of their content key as cached, at no cost.
+
+    The first calls are stored, so that the join of a hot key can be split.
+    """
+    first = cut_lineage(
+        calls.groupBy("content_key").agg(F.min(F.struct("created_at", "call_id")).alias("_first"))
     )
     paid = F.struct("created_at", "call_id") == F.col("_first")
     return (
@@ -282,7 +286,7 @@ def limit_breaches(activity: DataFrame, limit: int) -> DataFrame:
     """Requests beyond ``limit`` per owner and month. Refused ones do not count, so the refused
     are exactly those after the limit-th."""
     keyed = activity.withColumn("period", F.trunc("ts", "MM"))
-    cutoff = first_n_cutoff(keyed, ["owner", "period"], "ts", "item_id", limit)
+    cutoff = cut_lineage(first_n_cutoff(keyed, ["owner", "period"], "ts", "item_id", limit))
     return (
         keyed.join(cutoff, ["owner", "period"])
         .filter(F.struct("ts", "item_id") > F.struct("cutoff.ts", "cutoff.item_id"))

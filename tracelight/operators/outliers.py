@@ -6,14 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tracelight.session import cut_lineage
+
 
 def _judge(
     df: DataFrame, group: list[str], eligible: Column, outlier: Column, low: float, high: float
 ) -> DataFrame:
-    """Adds ``outlier``, the group's ``share`` of outliers and ``flagged`` (share within the gate)."""
+    """Adds ``outlier``, the group's ``share`` of outliers and ``flagged`` (share within the gate).
+
+    ``df`` is a join on the group. Grouping by a struct does not reuse its partitioning, so a hot
+    group's join stays free to be split; the stored shares keep the second join so too.
+    """
     marked = df.withColumn("outlier", F.coalesce(eligible & outlier, F.lit(False)))
     share = F.count_if("outlier") / F.count(F.lit(1))
-    shares = marked.groupBy(*group).agg(share.alias("share"))
+    shares = cut_lineage(
+        marked.groupBy(F.struct(*group).alias("_g")).agg(share.alias("share")).select("_g.*", "share")
+    )
     return marked.join(shares, group).withColumn("flagged", F.col("share").between(low, high))
 
 
@@ -23,11 +31,11 @@ def sigma_outliers(
 ) -> DataFrame:
     """Values above the group's mean + k population deviations *and* above ``floor``.
 
-    Statistics are one combined aggregation per group; rows meet them again by an equi-join, so
-    no group is gathered in one place.
+    Statistics are one combined aggregation per group, stored; rows meet them by an equi-join of
+    two shuffled tables, whose hot groups adaptive execution can split.
     """
-    stats = df.groupBy(group).agg(
-        F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sigma")
+    stats = cut_lineage(
+        df.groupBy(group).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sigma"))
     )
     joined = df.join(stats, group)
     above = (F.col(value) > F.col("_mean") + k * F.col("_sigma")) & (F.col(value) > floor)
@@ -102,7 +110,8 @@ def robust_outliers(
     low: float = 0.005, high: float = 0.25,
 ) -> DataFrame:
     """Values further from the group's median than max(k x IQR, floor, half the median)."""
-    stats = group_quantiles(df, group, value, {"_q1": 0.25, "_median": 0.5, "_q3": 0.75})
+    quartiles = {"_q1": 0.25, "_median": 0.5, "_q3": 0.75}
+    stats = cut_lineage(group_quantiles(df, group, value, quartiles))
     joined = df.join(stats, group)
     limit = F.greatest(
         k * (F.col("_q3") - F.col("_q1")), F.lit(floor), 0.5 * F.col("_median")

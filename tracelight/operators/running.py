@@ -82,13 +82,21 @@ def first_n_cutoff(
 ) -> DataFrame:
     """Per key, the (ts, tie) of its n-th earliest row; keys with fewer rows are absent.
 
-    The rank filter runs before the shuffle too, so a busy key sends n rows per task, not all.
+    A key's rows are ranked by day; days are added up per key, and only the day that holds the
+    n-th row is looked into. A busy key is thereby spread over its days, whatever ``n`` is.
     """
-    order = Window.partitionBy(*keys).orderBy(ts, tie)
+    rows = df.select(*keys, ts, tie).withColumn("_b", F.date_trunc("day", F.col(ts)))
+    days = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = (
+        days.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .filter((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n))
+        .select(*keys, "_b", "_before")
+    )
+    inside = Window.partitionBy(*keys, "_b").orderBy(ts, tie)
     return (
-        df.select(*keys, ts, tie)
-        .withColumn("_rn", F.row_number().over(order))
-        .filter(F.col("_rn") <= n)
-        .filter(F.col("_rn") == n)
+        rows.join(wanted, [*keys, "_b"])
+        .withColumn("_rn", F.row_number().over(inside))
+        .filter(F.col("_before") + F.col("_rn") == n)
         .select(*keys, F.struct(ts, tie).alias("cutoff"))
     )
