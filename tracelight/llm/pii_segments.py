@@ -338,7 +338,8 @@ def fit(rows: list[tuple[str, int, int, int]], epochs: int = 4, rate: float = 0.
         at = [np.array([place[f] for f in names]) for names in found.features]
         ready.append((len(found.starts), found.spans, at, gold[0] if kind >= 0 else -1, kind))
     weights = np.zeros((len(place), len(KINDS)))
-    weights[place["any"]] = -2.0 if "any" in place else 0
+    if place:
+        weights[place["any"]] = -2.0
     squares = np.full_like(weights, 1e-2)
     rng = np.random.default_rng(3)
     for _ in range(epochs):

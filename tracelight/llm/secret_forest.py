@@ -263,8 +263,7 @@ def train(
 
     rows = near.filter(lot < share).mapInArrow(collect, "x array<double>, y int").collect()
     rows = sorted((tuple(r["x"]), r["y"]) for r in rows)
-    x = np.array([r[0] for r in rows]).reshape(len(rows), -1)
-    return train_forest(x, np.array([r[1] for r in rows]))
+    return train_forest(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
 
 
 def judged(text: str, source: str | None, usual: Background, forest: Forest) -> list[tuple[Finding, float]]:
