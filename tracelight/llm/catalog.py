@@ -78,6 +78,52 @@ URL_RULES = {
 }
 
 
+def url_sql(rules: dict[str, str], terms: tuple[str, ...], order: int) -> str:
+    """The whole of op2 in SQL: rules, labels, both models, calibration and verdicts."""
+
+    def fits(rule: str) -> str:
+        host, slash, rest = rule.partition("/")
+        return f"(host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '{slash}{rest}')"
+
+    by_length = sorted(rules, key=lambda r: (-len(r), r))
+    cases = " ".join(f"WHEN {fits(r)} THEN '{r}'" for r in by_length)
+    blocked = ", ".join(f"'{r}'" for r, v in rules.items() if v == "block")
+    spam = " OR ".join(f"contains(host, '{t}')" for t in terms)
+    levels = f"p0 AS (SELECT gram, 1.0::DOUBLE / {url_model.ALPHABET} AS pa, 1.0::DOUBLE / {url_model.ALPHABET} AS pr FROM c)"
+    for k in range(order + 1):
+
+        def step(p: str, all_: str, n: str, kinds: str) -> str:
+            return f"CASE WHEN {all_} > 0 THEN ({n} + {kinds} * {p}) / ({all_} + {kinds}) ELSE {p} END AS {p}"
+
+        levels += f""",
+  s{k} AS (SELECT right(gram, {k + 1}) AS s, sum(a)::BIGINT AS na, sum(r)::BIGINT AS nr FROM c GROUP BY 1),
+  x{k} AS (SELECT left(s, {k}) AS x, sum(na)::BIGINT AS ta, sum(nr)::BIGINT AS tr, count(*) FILTER (na > 0) AS ka, count(*) FILTER (nr > 0) AS kr FROM s{k} GROUP BY 1),
+  p{k + 1} AS (SELECT gram, {step('pa', 'ta', 'na', 'ka')}, {step('pr', 'tr', 'nr', 'kr')} FROM p{k} JOIN s{k} ON s = right(gram, {k + 1}) JOIN x{k} ON x = left(s, {k}))"""
+    return f"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+  v AS (SELECT *, host || path AS text, CASE {cases} END AS rule FROM u),
+  t AS (SELECT text, min(CASE WHEN {spam} THEN 'rejected' WHEN host <> '' AND coalesce(rule NOT IN ({blocked}), true) THEN 'accepted' END) AS label,
+    ('0x' || substr(md5(text), 1, 4))::INT % 5 = 0 AS cal FROM v GROUP BY text),
+  g AS (SELECT text, CASE WHEN NOT cal THEN label END AS l, substr(repeat(chr(2), {order}) || text || chr(3), i, {order + 1}) AS gram
+    FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM t)),
+  c AS (SELECT gram, count(*) FILTER (l = 'accepted') AS a, count(*) FILTER (l = 'rejected') AS r FROM g GROUP BY 1),
+  {levels},
+  m AS (SELECT gram, round((ln(pa) - ln(pr)) * 1e6)::BIGINT AS micro FROM p{order + 1}),
+  z AS (SELECT text, sum(micro)::BIGINT AS micro, count(*) AS n FROM g JOIN m USING (gram) GROUP BY 1),
+  h AS (SELECT floor(micro::DOUBLE / n / 1000) AS step, count(*) FILTER (label = 'accepted') AS a, count(*) FILTER (label = 'rejected') AS r
+    FROM z JOIN t USING (text) WHERE cal AND label IS NOT NULL GROUP BY 1),
+  w AS (SELECT *, sum(a) OVER () AS ga, sum(r) OVER () AS gr, sum(a) OVER (ORDER BY step DESC) AS sa, sum(r) OVER (ORDER BY step DESC) AS sr,
+    coalesce(lag(step) OVER (ORDER BY step), step) AS low FROM h),
+  b AS (SELECT coalesce((SELECT (low + step + 1) / 2 / 1000 FROM w WHERE ga > 0 AND gr > 0 ORDER BY sa / ga - sr / gr DESC, step LIMIT 1), '-infinity'::DOUBLE) AS least)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ({blocked}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN coalesce(micro::DOUBLE / n / 1e6, 0) >= least THEN 'allow' ELSE 'block' END AS verdict, micro::DOUBLE / n / 1e6 AS score
+FROM v LEFT JOIN z USING (text), b"""
+
+
+ORACLES["op2_url_filters"] = url_sql(URL_RULES, url_model.REJECTED_TERMS, url_model.ORDER)
+
+
 @query
 def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_model.filter_urls(table(spark, folder, "pages"), URL_RULES)
