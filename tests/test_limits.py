@@ -1,8 +1,10 @@
 """Nothing is cut off: long lists, long hosts, phrases of any length, streams of several files."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from tracelight.operators import lineage, sources
+from tracelight.functions import timeparse
+from tracelight.operators import evidence, lineage, percept, sources
 from tracelight.streaming import jobs
 
 
@@ -92,3 +94,33 @@ def test_newest_row_of_a_batch_goes_by_version(spark):
 def test_wait_is_rounded_up():
     kept, allowed, _, wait = jobs.decide([1_000_500], 2_000_000 - 2_000_000 + 1_000_500, 1, 1_000_500)
     assert kept == [1_000_500] and not allowed and wait == 2
+
+
+def test_iso_offsets_and_weeks(spark):
+    want = {"2024-01-01T10:00:00+02": 1704096000, "2024-W01-1": 1704067200, "2020W537": 1609632000,
+            "2024-W53-1": None, "2024:01:01 10:00:00+02": None, "2024-01-01 10:00-0130": 1704108600}
+    df = spark.createDataFrame([(k,) for k in want], "raw string")
+    got = df.select("raw", F.unix_timestamp(timeparse.instant(F.col("raw"))).alias("t")).collect()
+    assert {r["raw"]: r["t"] for r in got} == want
+
+
+def test_receiver_time(spark):
+    rows = [(1, "EXIF", "GPSDateStamp", "2024:01:01"), (1, "EXIF", "GPSTimeStamp", "[10, 0, 5.7]"),
+            (2, "EXIF", "GPSDateStamp", "2024:01:01"), (2, "EXIF", "GPSTimeStamp", "10:00:06.25"),
+            (3, "Composite", "GPSDateTime", "2024:01:01 10:00:07Z"), (4, "EXIF", "GPSLatitude", "1")]
+    tags = spark.createDataFrame(rows, "item_id long, grp string, tag string, value string")
+    got = lineage.gps_positions(tags).select("item_id", F.unix_timestamp("received_at").alias("t")).collect()
+    assert {r["item_id"]: r["t"] for r in got} == {1: 1704103205, 2: 1704103206, 3: 1704103207, 4: None}
+
+
+def test_new_instructions_make_syntheses_stale(spark):
+    fields = "item_id int, position int, rule string, level string, kind string, claim string, conflicts_with string"
+    rows = spark.createDataFrame([(1, 0, "r", "POSSIBLE", "fact", "c", None)], fields)
+    stored = evidence.evidence_fingerprint(rows, "1")
+    assert evidence.stale_syntheses(stored, rows, "1").count() == 0
+    assert evidence.stale_syntheses(stored, rows, "2").count() == 1
+
+
+def test_other_grids_are_refused(spark):
+    with pytest.raises(ValueError):
+        percept.percept_hashes(spark.range(1), "id", width=32)

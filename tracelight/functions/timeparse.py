@@ -11,18 +11,36 @@ STAMP = (
     r"(Z|[+-]\d{2}:?\d{2})?$"
 )
 DATE = r"^(\d{4})-?(\d{2})-?(\d{2})$"
+# Two ISO forms beyond these: an offset of whole hours, and week dates.
+SHORT_OFFSET = r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?[+-]\d{2})$"
+WEEK = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?$"
+
+
+def whole(raw: Column) -> Column:
+    return F.regexp_replace(F.trim(raw), SHORT_OFFSET, "$1:00")
+
+
+def week_day(text: Column) -> Column:
+    """The date of an ISO week and day (Monday if no day is given); null for week numbers the year
+    does not have."""
+    year, week, day = (F.regexp_extract(text, WEEK, i).try_cast("int") for i in (1, 2, 3))
+    fourth = F.when(text.rlike(WEEK), F.make_date(year, F.lit(1), F.lit(4)))
+    monday = F.trunc(fourth, "week")
+    found = F.date_add(monday, (week - 1) * 7 + F.coalesce(day, F.lit(1)) - 1)
+    right = (week >= 1) & (F.extract(F.lit("YEAROFWEEK"), found) == year)
+    return F.when(right, found.cast("timestamp"))
 
 
 def tz_known(raw: Column) -> Column:
     """Whether a *readable* timestamp carries a zone; false for junk."""
-    text = F.trim(raw)
+    text = whole(raw)
     zone = F.regexp_extract(text, STAMP, 7)
     return F.coalesce(instant(raw).isNotNull() & (zone != ""), F.lit(False))
 
 
 def instant(raw: Column) -> Column:
     """UTC timestamp; a time without a zone is placed as if UTC; null when unreadable."""
-    text = F.trim(raw)
+    text = whole(raw)
 
     def part(i: int) -> Column:
         return F.regexp_extract(text, STAMP, i)
@@ -41,4 +59,8 @@ def instant(raw: Column) -> Column:
     )
     stamped = F.timestamp_micros(F.unix_micros(local) - shift.cast("long") * 60_000_000)
     readable = ~text.startswith("0000")
-    return F.when(readable & text.rlike(STAMP), stamped).when(readable & text.rlike(DATE), day)
+    return (
+        F.when(readable & text.rlike(STAMP), stamped)
+        .when(readable & text.rlike(DATE), day)
+        .when(readable & text.rlike(WEEK), week_day(text))
+    )

@@ -139,9 +139,11 @@ def degrees(value: Column) -> Column:
 
 
 def gps_positions(tags: DataFrame) -> DataFrame:
-    """(item, latitude, longitude, altitude_m, warnings): signed, in range, both or neither."""
-    names = ["GPSLatitude", "GPSLatitudeRef", "GPSLongitude", "GPSLongitudeRef", "GPSAltitude", "GPSAltitudeRef"]
-    keys = [f"EXIF:{n}" for n in names] + ["Composite:GPSLatitude", "Composite:GPSLongitude"]
+    """(item, latitude, longitude, altitude_m, warnings, received_at): signed, in range, both or
+    neither; the receiver's UTC time from the composite tag, else from date and time stamps."""
+    names = ["GPSLatitude", "GPSLatitudeRef", "GPSLongitude", "GPSLongitudeRef", "GPSAltitude", "GPSAltitudeRef", "GPSDateStamp", "GPSTimeStamp"]
+    composite = ["GPSLatitude", "GPSLongitude", "GPSDateTime"]
+    keys = [f"EXIF:{n}" for n in names] + [f"Composite:{n}" for n in composite]
     key = F.concat_ws(":", "grp", _tag_name())
     wide = (
         tags.withColumn("_key", key)
@@ -159,7 +161,17 @@ def gps_positions(tags: DataFrame) -> DataFrame:
     lat, lon = coordinate("Latitude", "S"), coordinate("Longitude", "W")
     altitude = degrees(F.col("EXIF_GPSAltitude"))
     below = F.lower(F.trim("EXIF_GPSAltitudeRef")).isin("1", "below sea level")
-    staged = wide.select("item_id", lat.alias("_lat"), lon.alias("_lon"), F.when(below, -F.abs(altitude)).otherwise(altitude).alias("altitude_m"))
+    numbers = F.transform(
+        F.split(F.regexp_replace("EXIF_GPSTimeStamp", "[\\[\\]\\s]", ""), ","),
+        lambda x: F.lpad(x.try_cast("double").cast("int").cast("string"), 2, "0"),
+    )
+    listed = F.when(
+        (F.size(numbers) == 3) & F.forall(numbers, lambda x: x.isNotNull()), F.array_join(numbers, ":")
+    )
+    clock = F.coalesce(listed, F.substring(F.trim("EXIF_GPSTimeStamp"), 1, 8))
+    stamped = F.concat(F.trim("EXIF_GPSDateStamp"), F.lit(" "), clock)
+    received = timeparse.instant(F.coalesce(F.nullif("Composite_GPSDateTime", F.lit("")), stamped))
+    staged = wide.select("item_id", lat.alias("_lat"), lon.alias("_lon"), received.alias("received_at"), F.when(below, -F.abs(altitude)).otherwise(altitude).alias("altitude_m"))
     ok_lat, ok_lon = F.col("_lat").between(-90, 90), F.col("_lon").between(-180, 180)
     both = F.coalesce(ok_lat, F.lit(False)) & F.coalesce(ok_lon, F.lit(False))
     one = F.coalesce(ok_lat, F.lit(False)) != F.coalesce(ok_lon, F.lit(False))
@@ -175,6 +187,7 @@ def gps_positions(tags: DataFrame) -> DataFrame:
                 F.when(one, F.lit("position incomplete")),
             )
         ).alias("warnings"),
+        "received_at",
     )
 
 

@@ -68,8 +68,11 @@ def _dct_bits(width: int):
 def percept_hashes(df: DataFrame, arr: str, width: int = 8) -> DataFrame:
     """Adds ``ahash`` (above the mean), ``dhash`` (left > right), ``phash`` (DCT above median).
 
-    The transform has no SQL form: it runs on Arrow batches, one matrix product per batch.
+    The transform has no SQL form: it runs on Arrow batches, one matrix product per batch. Hashes
+    are 64 bits, so grids are 8 x 8; other sizes are refused.
     """
+    if width != 8:
+        raise ValueError("perceptual hashes take grids of 8 x 8 values")
     return (
         df.withColumn("ahash", mean_hash(F.col(arr)))
         .withColumn("dhash", difference_hash(F.col(arr), width))
