@@ -28,10 +28,16 @@ ship(__name__)
 
 
 def per_process(key: str, make: Callable[[], Any]) -> Any:
-    """``make()`` once per Python worker, however many tasks it runs."""
+    """``make()`` once per Python worker, however many tasks it runs.
+
+    A worker holds one such object at a time: workers outlive jobs, and what the operator before
+    has left would add to the next one's memory.
+    """
     name = "tracelight_llm_process"
     store = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
     if key not in store:
+        for other in [k for k in store if not k.startswith("__")]:
+            del store[other]
         store[key] = make()
     return store[key]
 

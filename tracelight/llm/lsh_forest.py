@@ -41,7 +41,7 @@ SKETCH_LEAST = 47
 class WordHashes(dict):
     """64-bit hashes of words, at most ``limit`` remembered."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 

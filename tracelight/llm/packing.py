@@ -56,7 +56,7 @@ class WordIds(dict):
     tokenizer's whole path. Two generations of at most ``limit`` words bound the memory.
     """
 
-    def __init__(self, name: str, limit: int = 350_000):
+    def __init__(self, name: str, limit: int = 250_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
