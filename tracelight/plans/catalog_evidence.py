@@ -271,7 +271,13 @@ EVIDENCE = f"""{RULED},
       UNION ALL SELECT item_id, rule, 'UNKNOWN', NULL, 'conflict' FROM conf)"""
 
 
-@query("assemble_observations")
+@query(
+    "assemble_observations",
+    f"""SELECT o_orderkey AS item_id, true AS has_file, k_p AS has_provenance, k_m AS has_metadata, k_a AS has_ai,
+      k_q AS has_search, k_f AS has_signals, CASE WHEN k_q THEN least(n, 3) ELSE 0 END::BIGINT AS matches
+    FROM (SELECT k AS o_orderkey, {FLAT['p_ran']} AS k_p, {FLAT['m_ran']} AS k_m, {FLAT['a_ran']} AS k_a, {FLAT['q_ran']} AS k_q,
+      {FLAT['f_ran']} AS k_f, {FLAT['q_n']} AS n FROM (SELECT o_orderkey AS k FROM orders))""",
+)
 def _(t: Tables):
     obs = image_observations(t)
     return obs.select(
