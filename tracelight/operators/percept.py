@@ -45,11 +45,15 @@ def difference_hash(pixels: Column, width: int = 8) -> Column:
     )
 
 
-def _dct_bits(width: int):
-    # Orthonormal cosine transform: wave f sampled at the centres of ``width`` equal cells of [0, pi].
+def cosine_basis(width: int) -> np.ndarray:
+    """Orthonormal cosine transform: wave f sampled at the centres of ``width`` cells of [0, pi]."""
     centres = np.pi * (np.arange(width) + 0.5) / width
     waves = np.cos(np.outer(np.arange(width), centres))
-    basis = waves / np.linalg.norm(waves, axis=1, keepdims=True)
+    return waves / np.linalg.norm(waves, axis=1, keepdims=True)
+
+
+def _dct_bits(width: int):
+    basis = cosine_basis(width)
     side = min(8, width)
 
     @F.pandas_udf("bigint")
