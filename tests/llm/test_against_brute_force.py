@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tracelight.llm.catalog import QUERIES
+from tracelight.llm.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = {int(re.match(r"op(\d+)_", n)[1]): n for n in QUERIES}
@@ -48,6 +48,14 @@ def test_all_ten_are_there():
     assert sorted(NAMES) == list(range(1, 11))
 
 
+@pytest.mark.parametrize("n", [2, 6, 9])
+def test_checking_sql(spark, n):
+    from compare import compare, connect
+
+    df = QUERIES[NAMES[n]](spark, FOLDER)
+    assert compare(df, connect(FOLDER), ORACLES[NAMES[n]]) == []
+
+
 def test_language_accuracy(result, docs):
     rows = [r for r in result(1) if r["held_out"]]
     assert all(r["held_out"] == (fold(r["doc_id"]) == 0) for r in result(1))
