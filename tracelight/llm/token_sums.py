@@ -69,8 +69,9 @@ def count_tokens(docs: DataFrame, make: Splitter) -> DataFrame:
 
 
 def widespread(values: DataFrame, hot_tokens: int) -> DataFrame:
-    """The rows of the most widespread tokens, at most ``hot_tokens``: those above a threshold
-    that is read off a histogram of n_docs with 16 steps per doubling."""
+    """The rows of the most widespread tokens of up to 64 bytes, at most ``hot_tokens``: those above
+    a threshold that is read off a histogram of n_docs with 16 steps per doubling."""
+    values = values.filter(F.octet_length("token") <= 64)
     step = F.floor(F.log2(F.col("n_docs").cast("double")) * 16)
     histogram = values.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("c")).collect()
     kept, least = 0, None
