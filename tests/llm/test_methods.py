@@ -106,3 +106,35 @@ def test_adversarial_prefixes_do_not_hide_a_pair(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in lsh_forest.near_duplicates(docs, width=2).collect()}
     assert got[1000] == 7 and all(got[i] == i for i in range(400))
+
+
+def sets_around_stems(size, families, seed):
+    """Texts of distinct words (width 1): per family a stem, ``size`` copies at 0.905 to it and a
+    text at 0.802 to the stem only."""
+    rng = random.Random(seed)
+    texts, strangers = [], {}
+    fresh = 0
+    for _ in range(families):
+        stem = [f"s{fresh + k}" for k in range(400)]
+        fresh += 400
+        first = len(texts)
+        texts.append(stem)
+        for swapped in [20] * size + [44]:
+            copy = list(stem)
+            for at in rng.sample(range(400), swapped):
+                copy[at] = f"n{fresh}"
+                fresh += 1
+            texts.append(copy)
+        strangers[len(texts) - 1] = first
+    return texts, strangers
+
+
+def test_partner_in_a_dense_family_is_found(spark):
+    texts, strangers = sets_around_stems(100, 8, 5)
+    for x, stem in strangers.items():  # linked to the stem only
+        near = [k for k in range(stem, x) if 10 * len({*texts[k]} & {*texts[x]}) >= 8 * len({*texts[k]} | {*texts[x]})]
+        assert near == [stem]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in lsh_forest.near_duplicates(docs, width=1).collect()}
+    assert {x: got[x] for x in strangers} == strangers

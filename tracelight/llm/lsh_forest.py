@@ -5,14 +5,16 @@ own. The candidates of a set are its nearest neighbours in every order: those wi
 common prefix. How deep the shared prefix is adapts by itself: neighbours in a dense region share
 many minima, in a sparse one few. The orders are range-partitioned and streamed, so neither a
 popular prefix nor a large group of copies gathers in a task, and a set has at most
-2 * ``REACH`` candidates a tree, however large its group is.
+2 * ``REACH`` such candidates a tree, however large its group is.
 
-Sets that are equal are one node. Candidates are confirmed in two rounds: first the nearest
+Sets that are equal are one node. Candidates are confirmed in three rounds: first the nearest
 candidate of each set and its neighbour in the first tree, then every candidate pair whose ends
-are still in different components. No candidate that could change a component is left out.
+are still in different components, then every pair of different components that shares its first
+``SHARED`` minima in a tree with more sets than neighbours reach. No candidate that could change
+a component is left out.
 
 Two sets of similarity s share their first d minima in a tree with chance s^d; with 16 trees and
-s = 0.8 a pair that needs d = 4 to be neighbours is missed in all of them with chance 2e-4.
+s = 0.8 a pair shares no four of them in any tree with chance 2e-4, however dense its region is.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ from tracelight.operators.graph import connected_components
 ship(__name__)
 
 TREES, DEPTH, REACH = 16, 8, 4
+SHARED = 4  # minima of a tree at which partners are looked for in dense regions
+BLOCK = 1024  # rows of a dense region that meet as many others in one join key
+SHARED = 4  # minima of a tree at which partners are looked for in dense regions
+BLOCK = 1024  # rows of a dense region that meet as many others in one join key
 PRIME, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 #: Of 64 sketch bits, how many two sets of similarity 0.8 share at least (mean 57.6, sd 2.4).
 SKETCH_LEAST = 47
@@ -222,6 +228,50 @@ def forest_candidates(sets: DataFrame, percent: int) -> DataFrame:
     return within.unionByName(across).filter("a != b")
 
 
+def crowded_candidates(sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: sets of different components that share ``SHARED`` minima of a tree with more
+    sets than the neighbours of one could cover.
+
+    Each region is cut into blocks by hash, and every block meets every other in a join key of its
+    own, so the size of a region is spread over tasks.
+    """
+    prefixes = F.array(
+        *[F.expr(f"substring(trees, {1 + 2 * DEPTH * t}, {2 * SHARED})") for t in range(TREES)]
+    )
+    rows = (
+        sets.join(components, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+        .select(F.posexplode(prefixes).alias("tree", "prefix"), "node", "n_shingles", "sketch", "component")
+        .withColumn("region", F.xxhash64("tree", "prefix"))
+        .drop("tree", "prefix")
+    )
+    crowded = (
+        rows.groupBy("region")
+        .agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter((F.col("size") > REACH + 1) & (F.col("low") != F.col("high")))
+        .select("region", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    )
+    members = stored(
+        rows.join(crowded, "region").withColumn(
+            "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        )
+    )
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    named = {c: f"other_{c}" for c in ("node", "n_shingles", "sketch", "component")}
+    left = members.withColumn("met", every).withColumnRenamed("block", "own")
+    right = members.withColumn("own", every).withColumnRenamed("block", "met")
+    right = right.drop("blocks").withColumnsRenamed(named)
+    small, large = F.least("n_shingles", "other_n_shingles"), F.greatest("n_shingles", "other_n_shingles")
+    apart = F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch")))
+    return (
+        left.join(right, ["region", "own", "met"])
+        .filter((F.col("node") < F.col("other_node")) & (F.col("component") != F.col("other_component")))
+        .filter((small * 100 >= large * percent) & (apart <= 64 - SKETCH_LEAST))
+        .select(F.col("node").alias("a"), F.col("other_node").alias("b"))
+        .distinct()
+    )
+
+
 def id_filter(pairs: DataFrame, bits: int = 24) -> np.ndarray:
     """A bitmap of 2^bits places over crc32 of the ids in ``pairs``: at most 2 MB, no id is missed."""
     place = F.crc32(F.col("id").cast("string").cast("binary")) % (1 << bits)
@@ -341,6 +391,13 @@ def near_duplicates(
     if not more.isEmpty():
         links = links.unionByName(more)
         components = stored(connected_components(links, "a", "b"))
+    tried = pairs.select("a", "b")
+    crowded = stored(crowded_candidates(sets, components, percent).join(tried, ["a", "b"], "left_anti"))
+    if not crowded.isEmpty():
+        more = stored(confirmed(crowded, full_sets(source, crowded, width), percent))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            components = stored(connected_components(links, "a", "b"))
     named = stored(
         sets.join(components, "node", "left").select(
             "set_key", F.coalesce("component", "node").alias("component_id")
