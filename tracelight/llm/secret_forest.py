@@ -24,9 +24,12 @@ from tracelight.llm.common import columns_of, ship, short_batches
 
 ship(__name__)
 
-#: Candidate patterns in order of preference; group 1, or else the whole match, is the value.
+#: A private key goes from its first to its last line; one without a last line is header and body.
+KEY_BEGIN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+KEY_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+KEY_BODY = re.compile(r"(?:\s*+[A-Za-z0-9-]++:[^\n]*+\n)*+[A-Za-z0-9+/=\s]*+")
+#: Other candidate patterns in order of preference; group 1, or else the whole match, is the value.
 PATTERNS = [
-    ("private_key", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8000}+(?:-----END [A-Z ]*PRIVATE KEY-----)?")),
     ("cloud_key", re.compile(r"\b((?:AKIA|ASIA)[0-9A-Z]{12,20})\b")),
     ("repository_token", re.compile(r"\b(gh[pousr]_[A-Za-z0-9]{20,255})\b")),
     ("web_token", re.compile(r"\b(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)")),
@@ -49,6 +52,21 @@ BASE = 27  # a-z and everything else
 Finding = tuple[str, int, int]  # pattern, start, end
 
 
+def private_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Private keys of any length: each BEGIN with the next END, if no other BEGIN comes first."""
+    begins = [m.span() for m in KEY_BEGIN.finditer(text)]
+    ends = [m.span() for m in KEY_END.finditer(text)] if begins else []
+    k = 0
+    for i, (start, body) in enumerate(begins):
+        limit = begins[i + 1][0] if i + 1 < len(begins) else len(text)
+        while k < len(ends) and ends[k][0] < body:
+            k += 1
+        if k < len(ends) and ends[k][0] < limit:
+            yield start, ends[k][1]
+        else:
+            yield start, KEY_BODY.match(text, body, limit).end()
+
+
 def find_candidates(text: str, plain: bool = False) -> list[Finding]:
     """Values of all patterns; of overlapping ones that of the earlier pattern stays.
 
@@ -57,7 +75,7 @@ def find_candidates(text: str, plain: bool = False) -> list[Finding]:
     """
     if HINT.search(text) is None:
         return []
-    out: list[Finding] = []
+    out: list[Finding] = [("private_key", a, b) for a, b in private_keys(text)]
     for name, pattern in PATTERNS:
         for m in pattern.finditer(text):
             start, end = m.span(1 if pattern.groups else 0)
@@ -89,8 +107,9 @@ class Background:
             return usual, 0.0
         cells = ((codes[:-3] * BASE + codes[1:-2]) * BASE + codes[2:-1]) * BASE + codes[3:]
         inside = np.zeros(len(codes), bool)
-        for at in np.flatnonzero(self.common[cells]):
-            inside[at : at + 4] = True
+        hit = self.common[cells]
+        for k in range(4):
+            inside[k : k + len(hit)] |= hit
         return usual, float(inside.mean())
 
 
@@ -130,7 +149,7 @@ def features(text: str, source: str | None, found: Finding, usual: Background) -
     n = len(value)
     counts = np.array([value.count(c) for c in set(value)]) / n
     before, after = text[max(0, start - 40) : start], text[end : end + 40]
-    transitions, covered = usual.measure(value[:512])
+    transitions, covered = usual.measure(value)
     classes = [sum(map(f, value)) / n for f in (str.isdigit, str.isupper, str.islower)]
     switches = sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:], strict=False)) / n
     path = source or ""
