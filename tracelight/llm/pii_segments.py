@@ -2,10 +2,10 @@
 
 The base patterns (e-mail, IP, card, phone) give the spans that always count. The model (Sarawagi
 and Cohen, 2004) adds spans that no pattern matches, such as disguised addresses and numbers with
-other separators. Whole spans of up to ``MAX_TOKENS`` tokens are scored by features of the span as
+other separators. Whole spans of up to ``MAX_TOKENS`` tokens (``DOT_TOKENS`` with a spelled-out dot) are scored by features of the span as
 a whole (shape, digits, check digit, separators, neighbouring words); dynamic programming over
 segments chooses boundaries and kinds jointly, and a span is added if its marginal probability is
-at least ``ACCEPT``. A text is only looked at near anchors (digits, @ and spelled-out dots), so
+at least ``ACCEPT``. A text is only looked at near anchors (digits, @ and spelled-out @ or dots), so
 its cost follows the anchors it holds.
 
 The model learns from base spans of a bounded sample of documents, as they are and rewritten in
@@ -30,6 +30,7 @@ ship(__name__)
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
+DOT_TOKENS = 64  # of a span with a spelled-out dot
 ACCEPT = 0.9
 NEAR = 30  # anchors closer than this share a window, which reaches as far beyond them
 
@@ -39,7 +40,11 @@ LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-ANCHOR = re.compile(r"[0-9]+|@|[\[(]\s?(?:at|dot)\s?[\])]|\bdot\b")
+#: What stands for @ or a dot: (at), [dot], dot, and at before a name with a dot.
+SPELLED = r"[\[(]\s?(?:at|dot)\s?[\])]|\bdot\b|\bat\s+(?=[a-z0-9-]+\.[a-z])"
+ANCHOR = re.compile(rf"(?i)[0-9]+|@|{SPELLED}")
+NAMED = re.compile(rf"(?i)@|{SPELLED}")
+DOT = re.compile(r"(?i)\bdot\b")
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -172,19 +177,22 @@ def candidates(text: str) -> Candidates:
     plain = [w.isalnum() or w in "+(@" for w in words]  # what an entity may begin with
     closes = [w.isalnum() for w in words]
     spans, features = [], []
+    most = DOT_TOKENS if DOT.search(text) else MAX_TOKENS
     for i in range(len(words)):
         if not plain[i]:
             continue
-        for j in range(i + 1, min(len(words), i + MAX_TOKENS) + 1):
+        for j in range(i + 1, min(len(words), i + most) + 1):
             if not closes[j - 1] or number[j] == number[i]:
                 continue
             raw = text[starts[i] : ends[j - 1]]
             if "\n" in raw:
                 break
             n = sum(c.isdigit() for c in raw)
-            named = "@" in raw or re.search(r"\bdot\b", raw, re.I) is not None
+            named = NAMED.search(raw) is not None
             if n < 7 and not named and number[j] - number[i] < 4:
                 continue
+            if j - i > MAX_TOKENS and DOT.search(raw) is None:
+                continue
             spans.append((i, j))
             before = words[i - 1] if i else ""
             after = words[j] if j < len(words) else ""
@@ -361,7 +369,7 @@ def fit(rows: list[tuple[str, int, int, int]], epochs: int = 4, rate: float = 0.
 def train(docs: DataFrame, sample_docs: int = 1500, windows_each: int = 3) -> Model:
     """The model from at most about ``sample_docs`` documents with an anchor, taken by hash, and
     ``windows_each`` windows of each."""
-    near = docs.filter(F.col("text").rlike("[0-9@]")).select("text")
+    near = docs.filter(F.col("text").rlike(ANCHOR.pattern)).select("text")
     share = min(1.0, sample_docs / max(near.count(), 1))
     lot = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     sample = near.filter(lot < share)
@@ -396,14 +404,13 @@ def find_personal_data(
     names = [id_column, *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"]
     id_arrow = pa.int64() if kind == "bigint" else None
     kinds = [id_arrow, *[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
-    marks = re.compile("[0-9@]|dot")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, nothing = shared.value, hashlib.sha256(b"").hexdigest()
         for batch in short_batches(batches, "text"):
             rows = []
             for doc_id, text in zip(*columns_of(batch, id_column, "text"), strict=True):
-                if text is None or marks.search(text) is None:
+                if text is None or ANCHOR.search(text) is None:
                     rows.append((doc_id, 0, 0, 0, 0, nothing, "", 0))
                     continue
                 base = base_spans(text)
