@@ -399,5 +399,5 @@ def _(t: Tables):
 
 @query("ingest_files")
 def _(t: Tables):
-    files = ingest_files(t.spark, f"{t.folder}/*.parquet", max_bytes=1 << 20)
+    files = ingest_files(t.spark, f"{t.folder}/*.parquet")
     return files.withColumn("path", F.element_at(F.split("path", "/"), -1))
