@@ -17,6 +17,7 @@ from tracelight.llm import (
     secret_forest,
     token_counts,
     url_model,
+    vector_codes,
     winnowing,
 )
 from tracelight.llm.common import fold, table
@@ -183,3 +184,11 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         "bits_per_byte",
     )
+
+
+@query
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, folder, "embeddings"))
+
+
+ORACLES["op11_vector_codes"] = vector_codes.compress_sql()
