@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelight.llm import (
     context_mixing,
+    cost_packing,
     language_codes,
     lsh_forest,
     packing,
@@ -192,3 +193,8 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op11_vector_codes"] = vector_codes.compress_sql()
+
+
+@query
+def op12_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return cost_packing.pack_by_cost(table(spark, folder, "documents"))

@@ -96,11 +96,11 @@ class WordIds(dict):
         return packed([t.id for t in self.model.tokenize(letters)])
 
 
-def document_ids(words: WordIds, text: str | None) -> bytes:
+def document_ids(words: WordIds, text: str | None, end_id: int = END_ID) -> bytes:
     raw = (text or "").encode()
     if b"<|" not in raw:  # special tokens are written in lower case only
         raw = raw.lower()
-    return b"".join(map(words.__getitem__, raw.split())) + END_ID.to_bytes(4, "little")
+    return b"".join(map(words.__getitem__, raw.split())) + end_id.to_bytes(4, "little")
 
 
 def tokenized_pieces(
