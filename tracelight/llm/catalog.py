@@ -16,6 +16,7 @@ from tracelight.llm import (
     pii_segments,
     quality_rules,
     secret_forest,
+    target_resampling,
     token_counts,
     url_model,
     vector_codes,
@@ -198,3 +199,34 @@ ORACLES["op11_vector_codes"] = vector_codes.compress_sql()
 @query
 def op12_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
     return cost_packing.pack_by_cost(table(spark, folder, "documents"))
+
+
+@query
+def op13_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return target_resampling.resample(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
+#: CRC-32 bit by bit over the hex digits of a feature; everything else as the contract says it.
+ORACLES["op13_target_resampling"] = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  e AS MATERIALIZED (SELECT regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+  g AS MATERIALIZED (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS f FROM d),
+  h AS MATERIALIZED (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS f FROM e),
+  x AS (SELECT DISTINCT f, hex(encode(f)) AS hx FROM (SELECT f FROM g UNION ALL SELECT f FROM h)),
+  b AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(4 * len(hx)),
+      lambda k: (('0x' || substr(hx, 2 * (k // 8) + 1, 2))::BIGINT >> (k % 8)) & 1)),
+      lambda c, v: xor(c >> 1, 3988292384::BIGINT * (xor(c, v) & 1))), 4294967295::BIGINT) % 10000 AS bucket FROM x),
+  s AS (SELECT bucket, count(*) AS s FROM g JOIN b USING (f) GROUP BY 1),
+  t AS (SELECT bucket, count(*) AS t FROM h JOIN b USING (f) GROUP BY 1),
+  n AS (SELECT (SELECT count(*) FROM g) + 10000 AS alls, (SELECT count(*) FROM h) + 10000 AS allt),
+  a AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * alls / ((s + 1)::DOUBLE * allt)))::BIGINT AS gain
+    FROM s LEFT JOIN t USING (bucket), n),
+  m AS (SELECT doc_id, count(*) AS n, sum(gain) AS total FROM g JOIN b USING (f) JOIN a USING (bucket) GROUP BY 1),
+  z AS (SELECT doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(total::DOUBLE / n), 0)::BIGINT AS weight,
+      ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS noise FROM d LEFT JOIN m USING (doc_id)),
+  y AS (SELECT *, weight + floor(-1000 * ln(-ln((noise + 0.5) / 4294967296)))::BIGINT AS score FROM z),
+  r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE words >= 20
+    QUALIFY rank <= 25 * count(*) OVER () // 100)
+SELECT doc_id, n_features, weight, score, rank FROM y LEFT JOIN r USING (doc_id)"""
