@@ -9,7 +9,8 @@ Padding: a group of documents with T tokens opens ``T // capacity`` whole sequen
 rest of the division, one for each power of two in it. A sequence whose length is a power of two
 needs no padding, and as the rooms add up to T exactly, no sequence is padded at all.
 
-One job turns every whole text into ids once; their 16 bits (32 for larger vocabularies) travel to
+One job turns every whole text into ids once: a batch is split into words by Arrow kernels, each
+distinct word is looked up once, and ``take`` puts the ids in order. Their 16 bits (32 for larger vocabularies) travel to
 the packing groups, because where a document is cut is known there only. A group is a hash class
 of about ``group_tokens`` tokens, so that no task holds more than its share.
 """
@@ -23,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import columns_of, per_process, ship, short_batches, stored
-from tracelight.llm.packing import WordIds, document_ids
+from tracelight.llm.common import per_process, ship, short_batches, stored
+from tracelight.llm.packing import WordIds
 
 ship(__name__)
 
@@ -37,6 +39,23 @@ LINEAR = 12_288
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def text_ids(words: WordIds, texts: pa.Array) -> list[np.ndarray]:
+    """The tokenizer's ids of each of ``texts``; null is empty."""
+    texts = pc.fill_null(texts, "")
+    # special tokens are written in lower case only
+    raw = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    lists = pc.ascii_split_whitespace(raw)
+    coded = pc.dictionary_encode(pc.list_flatten(lists))
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    ids = pa.array([words[w] if w else b"" for w in distinct], pa.large_binary())
+    taken = ids.take(coded.indices)
+    ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] // 4
+    numbers = np.frombuffer(taken.buffers()[2] or b"", "<u4")
+    counts = pc.list_value_length(lists).to_numpy()
+    edges = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    return [numbers[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """``docs`` (id, text) as (id, row, n, ids): ``row`` counts within the task, ``ids`` are
     little-endian numbers of 16 bits, or of 32 if one is larger."""
@@ -44,13 +63,12 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = per_process(f"ids:{tokenizer}", lambda: WordIds(tokenizer))
         row = 0
-        for batch in short_batches(batches, "text"):
+        for batch in short_batches(batches, "text", 16_000_000):  # more text, fewer words twice
             ids, sizes = [], []
-            for text in columns_of(batch, "text")[0]:
-                numbers = np.frombuffer(document_ids(words, text, end_id), "<u4")
+            for numbers in text_ids(words, batch.column(1)):
+                numbers = np.append(numbers, np.uint32(end_id))
                 sizes.append(len(numbers))
-                narrow = int(numbers.max()) < 1 << 16
-                ids.append((numbers.astype("<u2") if narrow else numbers).tobytes())
+                ids.append(numbers.astype("<u2" if numbers.max() < 1 << 16 else "<u4").tobytes())
             columns = [
                 batch.column(0),
                 pa.array(range(row, row + len(sizes)), pa.int64()),
