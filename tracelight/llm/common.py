@@ -56,6 +56,25 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(spark: SparkSession, *models: Any) -> Callable[[], list[Any]]:
+    """A function that gives ``models`` (dataclass objects) in a task, broadcast as their fields.
+
+    A broadcast names the classes of what it holds by module, which workers would have to import;
+    plain fields need none, and the classes travel with the function that uses them.
+    """
+    held = spark.sparkContext.broadcast([tuple(vars(m).values()) for m in models])
+    kinds = [type(m) for m in models]
+
+    def received() -> list[Any]:
+        return [kind(*fields) for kind, fields in zip(kinds, held.value, strict=True)]
+
+    return received
+
+
+def kind_of(batch: pa.RecordBatch, name: str) -> pa.DataType:
+    return batch.schema.field(name).type
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import columns_of, per_process, ship, short_batches
+from tracelight.llm.common import columns_of, kind_of, per_process, sent, ship, short_batches
 
 ship(__name__)
 
@@ -273,13 +273,12 @@ def predict_language(
     """
     source = docs.select(F.col(id_column), F.col(text_column).alias("text"))
     kind = source.schema[id_column].dataType.simpleString()
-    id_arrow = pa.int64() if kind == "bigint" else None
-    shared = source.sparkSession.sparkContext.broadcast(model)
+    received = sent(source.sparkSession, model)
     names = [id_column, "lang_pred", "score", "second", "bit_errors", "ambiguous"]
-    kinds = [id_arrow, pa.string(), pa.float64(), pa.string(), pa.int32(), pa.bool_()]
+    kinds = [pa.string(), pa.float64(), pa.string(), pa.int32(), pa.bool_()]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        (model,) = received()
         for batch in short_batches(batches, "text", CHARS):
             ids, texts = columns_of(batch, id_column, "text")
             data = [ids, [UNDETERMINED] * len(ids), [0.0] * len(ids), [None] * len(ids)]
@@ -291,7 +290,8 @@ def predict_language(
                     if letters[i]:
                         data[1][i], data[3][i] = model.languages[best], model.languages[second]
                         data[2][i], data[4][i], data[5][i] = score, errors, unsure
-            arrays = [pa.array(c, k) for c, k in zip(data, kinds, strict=True)]
+            typed = zip(data, [kind_of(batch, id_column), *kinds], strict=True)
+            arrays = [pa.array(c, k) for c, k in typed]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return source.mapInArrow(

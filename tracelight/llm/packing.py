@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import columns_of, per_process, ship, short_batches, stored
+from tracelight.llm.common import columns_of, kind_of, per_process, ship, short_batches, stored
 
 ship(__name__)
 
@@ -112,7 +112,6 @@ def tokenized_pieces(
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every whole text; null text counts as empty."""
     source = docs.select(F.col(id_column), F.col(text_column).alias("text"))
-    kind = pa.int64() if dict(source.dtypes)[id_column] == "bigint" else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = per_process(f"ids:{tokenizer}", lambda: WordIds(tokenizer))
@@ -125,7 +124,7 @@ def tokenized_pieces(
                     row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-            kinds = (kind, pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (kind_of(batch, id_column), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
             names = [id_column, "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays(arrays, names)
@@ -172,20 +171,25 @@ def pack(
     ``pieces`` must be a stored table (it is counted first). Pieces are dealt to
     ``ceil(rows / group_rows)`` groups by hash of (id, piece) and each group is packed by itself,
     longest pieces first; a group leaves at most a few open sequences part-filled. Rows that
-    repeat, null ids and other columns are kept. An empty table gives an empty result.
+    repeat, null ids and other columns are kept; columns that are named sequence_id or offset are
+    replaced. An empty table gives an empty result.
     """
+    pieces = pieces.drop("sequence_id", "offset")
+    own = "_group"
+    while own in pieces.columns:
+        own += "_"
     groups = max(1, math.ceil(pieces.count() / group_rows))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(id_column, "piece"), F.lit(groups)))
+    dealt = pieces.withColumn(own, F.pmod(F.xxhash64(id_column, "piece"), F.lit(groups)))
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", id_column, "piece"], ascending=[False, True, True])
         sequence, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
-        rows["sequence_id"] = (rows["_group"].to_numpy() << 32) + sequence
+        rows["sequence_id"] = (rows[own].to_numpy() << 32) + sequence
         rows["offset"] = offset
-        return rows.drop(columns="_group")
+        return rows.drop(columns=own)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("_group").applyInPandas(
+    return dealt.groupBy(own).applyInPandas(
         place, f"{fields}, sequence_id long, offset long"
     )
 

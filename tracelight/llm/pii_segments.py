@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import columns_of, ship, short_batches
+from tracelight.llm.common import columns_of, kind_of, sent, ship, short_batches
 
 ship(__name__)
 
@@ -400,13 +400,12 @@ def find_personal_data(
     """
     source = docs.select(F.col(id_column), F.col(text_column).alias("text"))
     kind = source.schema[id_column].dataType.simpleString()
-    shared = source.sparkSession.sparkContext.broadcast(model)
+    received = sent(source.sparkSession, model)
     names = [id_column, *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"]
-    id_arrow = pa.int64() if kind == "bigint" else None
-    kinds = [id_arrow, *[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
+    kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, nothing = shared.value, hashlib.sha256(b"").hexdigest()
+        (model,), nothing = received(), hashlib.sha256(b"").hexdigest()
         for batch in short_batches(batches, "text"):
             rows = []
             for doc_id, text in zip(*columns_of(batch, id_column, "text"), strict=True):
@@ -419,7 +418,8 @@ def find_personal_data(
                 digest = hashlib.sha256(listed(base).encode()).hexdigest()
                 rows.append((doc_id, *n, digest, listed(base + added), len(added)))
             data = list(zip(*rows, strict=True))
-            arrays = [pa.array(c, k) for c, k in zip(data, kinds, strict=True)]
+            typed = zip(data, [kind_of(batch, id_column), *kinds], strict=True)
+            arrays = [pa.array(c, k) for c, k in typed]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     fields = ", ".join(f"n_{k} long" for k in KINDS)

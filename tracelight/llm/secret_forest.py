@@ -13,6 +13,7 @@ import hashlib
 import math
 import re
 from collections.abc import Callable, Iterator
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import columns_of, ship, short_batches
+from tracelight.llm.common import columns_of, kind_of, sent, ship, short_batches
 
 ship(__name__)
 
@@ -76,15 +77,18 @@ def find_candidates(text: str, plain: bool = False) -> list[Finding]:
     if HINT.search(text) is None:
         return []
     out: list[Finding] = [("private_key", a, b) for a, b in private_keys(text)]
+    out.sort(key=lambda f: f[1])
     for name, pattern in PATTERNS:
         for m in pattern.finditer(text):
             start, end = m.span(1 if pattern.groups else 0)
             value = text[start:end]
             if name == "long_token" and not plain and (value.isalpha() or value.isdigit()):
                 continue
-            if start < end and not any(a < end and b > start for _, a, b in out):
-                out.append((name, start, end))
-    return sorted(out, key=lambda f: f[1])
+            # findings do not overlap, so only the last one that starts before ``end`` can reach in
+            at = bisect_left(out, end, key=lambda f: f[1])
+            if start < end and (at == 0 or out[at - 1][2] <= start):
+                out.insert(at, (name, start, end))
+    return out
 
 
 def letter_codes(raw: bytes) -> np.ndarray:
@@ -310,14 +314,13 @@ def scan_secrets(
     whole text, in code points, with the forest's verdict. Null and empty texts have none."""
     source = prepared(docs, id_column, text_column, path_column)
     usual = background(source)
-    shared = source.sparkSession.sparkContext.broadcast((usual, train(source, usual, label)))
+    received = sent(source.sparkSession, usual, train(source, usual, label))
     kind = source.schema["_id"].dataType.simpleString()
-    id_arrow = pa.int64() if kind == "bigint" else None
     names = [id_column, "pattern", "start", "end", "value_sha256", "probability", "is_secret"]
-    kinds = [id_arrow, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        usual, forest = shared.value
+        usual, forest = received()
         for batch in short_batches(batches, "text"):
             rows = []
             for doc_id, text, path in zip(*columns_of(batch, "_id", "text", "source"), strict=True):
@@ -325,7 +328,8 @@ def scan_secrets(
                     digest = hashlib.sha256(text[a:b].encode()).hexdigest()
                     rows.append((doc_id, name, a, b, digest, p, p >= threshold))
             data = list(zip(*rows, strict=True)) or [[]] * len(names)
-            arrays = [pa.array(c, k) for c, k in zip(data, kinds, strict=True)]
+            typed = zip(data, [kind_of(batch, "_id"), *kinds], strict=True)
+            arrays = [pa.array(c, k) for c, k in typed]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return source.mapInArrow(
@@ -347,18 +351,20 @@ def redact_secrets(
     """``docs`` with every secret of ``text_column`` replaced by ``mark``; all rows and columns stay."""
     source = prepared(docs, id_column, text_column, path_column)
     usual = background(source)
-    shared = source.sparkSession.sparkContext.broadcast((usual, train(source, usual, label)))
+    received = sent(source.sparkSession, usual, train(source, usual, label))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        usual, forest = shared.value
+        usual, forest = received()
         for batch in short_batches(batches, text_column):
             paths = columns_of(batch, path_column)[0] if path_column else [None] * batch.num_rows
             out = []
             for text, path in zip(columns_of(batch, text_column)[0], paths, strict=True):
-                for (_, a, b), p in reversed(judged(text or "", path, usual, forest)):
+                parts, done = [], 0
+                for (_, a, b), p in judged(text or "", path, usual, forest):
                     if p >= threshold:
-                        text = text[:a] + mark + text[b:]
-                out.append(text)
+                        parts += [text[done:a], mark]
+                        done = b
+                out.append("".join([*parts, text[done:]]) if parts else text)
             at = batch.schema.get_field_index(text_column)
             yield batch.set_column(at, text_column, pa.array(out, batch.schema.field(at).type))
 

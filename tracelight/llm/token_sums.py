@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import columns_of, ship, short_batches
+from tracelight.llm.common import columns_of, kind_of, ship, short_batches
 
 ship(__name__)
 
@@ -104,7 +104,6 @@ def sum_values(
     known = docs.sparkSession.sparkContext.broadcast((place, table))
     source = docs.select(id_column, "text")
     id_field = source.schema[id_column].dataType.simpleString()
-    id_arrow = pa.int64() if id_field == "bigint" else None
     kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * len(names)]
     labels = [id_column, "token", "times", "n_tokens", "n_bytes", *names]
 
@@ -135,7 +134,9 @@ def sum_values(
             rows = np.array(sums).reshape(len(ids), len(names))
             data = [tokens, times, totals, sizes, *rows.T]
             arrays = [pa.array(c, k) for c, k in zip(data, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_arrow), *arrays], names=labels)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, kind_of(batch, id_column)), *arrays], names=labels
+            )
 
     fields = ", ".join(f"`{n}` double" for n in names)
     rows = source.mapInArrow(
