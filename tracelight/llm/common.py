@@ -56,6 +56,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes ``stored`` tables that nothing will read again."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+            if folder.rpartition("/")[2].startswith("table-"):
+                target = sc._jvm.org.apache.hadoop.fs.Path(folder)
+                target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def sent(spark: SparkSession, *models: Any) -> Callable[[], list[Any]]:
     """A function that gives ``models`` (dataclass objects) in a task, broadcast as their fields.
 

@@ -9,12 +9,18 @@ popular prefix nor a large group of copies gathers in a task, and a set has at m
 
 Sets that are equal are one node. Candidates are confirmed in three rounds: first the nearest
 candidate of each set and its neighbour in the first tree, then every candidate pair whose ends
-are still in different components, then every pair of different components that shares its first
-``SHARED`` minima in a tree with more sets than neighbours reach. No candidate that could change
-a component is left out.
+are still in different components, then what neighbours may have missed in dense regions. A region
+is dense if more sets share their first ``SHARED`` minima in a tree than neighbours reach, and not
+all of them are in one component yet. Its sets are searched exactly: shingles are ordered by how
+many of these sets hold them, and two sets that are similar enough must share one of their rarest
+few (with 80 %, one of the first fifth). A line or passage that very many texts share stands last
+in that order, so texts that share it and little else never meet; variants of one text meet under
+keys whose sets are in one component, and those are left out. No candidate that could change a
+component is.
 
 Two sets of similarity s share their first d minima in a tree with chance s^d; with 16 trees and
 s = 0.8 a pair shares no four of them in any tree with chance 2e-4, however dense its region is.
+The exact search has no such chance for any pair of sets of dense regions.
 """
 
 from __future__ import annotations
@@ -25,20 +31,26 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import columns_of, per_process, ship, short_batches, stored
+from tracelight.llm.common import (
+    columns_of,
+    per_process,
+    release,
+    ship,
+    short_batches,
+    stored,
+)
 from tracelight.operators.graph import connected_components
 
 ship(__name__)
 
 TREES, DEPTH, REACH = 16, 8, 4
-SHARED = 4  # minima of a tree at which partners are looked for in dense regions
-BLOCK = 1024  # rows of a dense region that meet as many others in one join key
-SHARED = 4  # minima of a tree at which partners are looked for in dense regions
-BLOCK = 1024  # rows of a dense region that meet as many others in one join key
+SHARED = 4  # minima of a tree that the sets of a region share
+BLOCK = 1024  # rows of a key that meet as many others in one task
+CELLS = 1 << 18  # numbers that tell rare shingles from frequent ones
 PRIME, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 #: Of 64 sketch bits, how many two sets of similarity 0.8 share at least (mean 57.6, sd 2.4).
 SKETCH_LEAST = 47
@@ -228,55 +240,156 @@ def forest_candidates(sets: DataFrame, percent: int) -> DataFrame:
     return within.unionByName(across).filter("a != b")
 
 
-def crowded_candidates(sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: sets of different components that share ``SHARED`` minima of a tree with more
-    sets than the neighbours of one could cover.
-
-    Each region is cut into blocks by hash, and every block meets every other in a join key of its
-    own, so the size of a region is spread over tasks.
-    """
+def crowded_sets(sets: DataFrame, components: DataFrame) -> DataFrame:
+    """(node, component) of the sets in dense regions that hold several components."""
     prefixes = F.array(
         *[F.expr(f"substring(trees, {1 + 2 * DEPTH * t}, {2 * SHARED})") for t in range(TREES)]
     )
     rows = (
         sets.join(components, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
-        .select(F.posexplode(prefixes).alias("tree", "prefix"), "node", "n_shingles", "sketch", "component")
-        .withColumn("region", F.xxhash64("tree", "prefix"))
-        .drop("tree", "prefix")
+        .select(F.posexplode(prefixes).alias("tree", "prefix"), "node", "component")
+        .select(F.xxhash64("tree", "prefix").alias("region"), "node", "component")
     )
-    crowded = (
+    dense = (
         rows.groupBy("region")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(
+            F.count(F.lit(1)).alias("size"),
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+        )
         .filter((F.col("size") > REACH + 1) & (F.col("low") != F.col("high")))
-        .select("region", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    )
+    )
+    return rows.join(dense.select("region"), "region").select("node", "component").distinct()
+
+
+def shingle_sets(docs: DataFrame, bitmap: Broadcast, width: int) -> Callable:
+    """A function over batches of ``docs``: (id, shingles) of the texts whose id is marked."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
+        hashes, marks = per_process("word hashes", WordHashes), bitmap.value
+        places = len(marks) << 5
+        for batch in short_batches(batches, "text"):
+            found = []
+            for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
+                if doc_id is None:
+                    continue
+                place = zlib.crc32(str(doc_id).encode()) % places
+                if int(marks[place >> 5]) >> (place & 31) & 1:
+                    shingles = shingle_set(words_of(text), width, hashes)
+                    if len(shingles):
+                        found.append((doc_id, shingles))
+            yield found
+
+    return sets
+
+
+def cell_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(CELLS)).astype(np.int64)
+
+
+def shingle_cells(docs: DataFrame, sets: Callable) -> np.ndarray:
+    """How many marked texts hold the shingles of each of ``CELLS`` hash classes."""
+    schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for found in sets(batches):
+            for _, shingles in found:
+                np.add.at(total, cell_of(shingles), 1)
+        used = np.flatnonzero(total)
+        arrays = [pa.array(c, f.type) for c, f in zip((used, total[used]), schema, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    rows = docs.select("doc_id", "text").mapInArrow(count, "cell int, n long")
+    sums = rows.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # ``CELLS`` rows at most
+    out = np.zeros(CELLS, np.int64)
+    out[sums["cell"].to_numpy(int)] = sums["n"].to_numpy(int)
+    return out
+
+
+def rare_shingles(docs: DataFrame, sets: Callable, cells: Broadcast, percent: int) -> DataFrame:
+    """(key, node, n, place): the rarest shingles of each marked text, as many as any set of enough
+    similarity must share one of, with their places in the common order."""
+    schema = pa.schema([(n, pa.int64()) for n in ("key", "node", "n", "place")])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency = cells.value
+        for found in sets(batches):
+            parts: list[list[np.ndarray]] = [[], [], [], []]
+            for node, shingles in found:
+                n = len(shingles)
+                first = n + (-percent * n) // 100 + 1
+                order = np.lexsort([shingles, frequency[cell_of(shingles)]])[:first]
+                rows = (shingles[order].view(np.int64), np.full(first, node), np.full(first, n))
+                for part, column in zip(parts, (*rows, np.arange(first)), strict=True):
+                    part.append(column)
+            arrays = [pa.array(np.concatenate(p) if p else [], pa.int64()) for p in parts]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(
+        pick, "key long, node long, n long, place long"
+    )
+
+
+def crowded_candidates(
+    docs: DataFrame, crowded: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """(a, b), a < b: every pair of the stored ``crowded`` sets (node, component) of different
+    components that may be similar enough, by their rare shingles.
+
+    Sets of sizes m and n need an overlap of percent * (m + n) / (100 + percent); of the overlap
+    nothing stands before the first shared shingle, so its place bounds what is left for it. Of a
+    key's sets, those of its largest component meet the others only; a key of one component is
+    dropped. What many sets share is cut into blocks, and every two blocks are a join key.
+    """
+    sc = docs.sparkSession.sparkContext
+    bitmap = sc.broadcast(id_filter(crowded.select(F.array("node").alias("ids"))))
+    sets = shingle_sets(docs, bitmap, width)
+    cells = sc.broadcast(shingle_cells(docs, sets))
+    rows = stored(rare_shingles(docs, sets, cells, percent).join(crowded, "node"))
+    groups = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    shared = (
+        groups.groupBy("key")
+        .agg(
+            F.sum("size").alias("size"),
+            F.count(F.lit(1)).alias("groups"),
+            F.max_by("component", F.struct("size", "component")).alias("largest"),
+        )
+        .filter("groups > 1")
+        .select("key", "largest", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    )
     members = stored(
-        rows.join(crowded, "region").withColumn(
+        rows.join(shared, "key").withColumn(
             "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         )
     )
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    named = {c: f"other_{c}" for c in ("node", "n_shingles", "sketch", "component")}
-    left = members.withColumn("met", every).withColumnRenamed("block", "own")
+    left = members.filter("component != largest").withColumnRenamed("block", "own")
+    left = left.withColumn("met", every)
     right = members.withColumn("own", every).withColumnRenamed("block", "met")
-    right = right.drop("blocks").withColumnsRenamed(named)
-    small, large = F.least("n_shingles", "other_n_shingles"), F.greatest("n_shingles", "other_n_shingles")
-    apart = F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch")))
-    return (
-        left.join(right, ["region", "own", "met"])
-        .filter((F.col("node") < F.col("other_node")) & (F.col("component") != F.col("other_component")))
-        .filter((small * 100 >= large * percent) & (apart <= 64 - SKETCH_LEAST))
-        .select(F.col("node").alias("a"), F.col("other_node").alias("b"))
-        .distinct()
+    named = {c: f"other_{c}" for c in ("node", "n", "place", "component")}
+    right = right.drop("blocks", "largest").withColumnsRenamed(named)
+    need = F.col("n") + F.col("other_n")
+    left_over = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+    pairs = left.join(right, ["key", "own", "met"]).filter(
+        (F.col("component") != F.col("other_component"))
+        & (left_over * (100 + percent) >= need * percent)
     )
+    found = stored(
+        pairs.select(
+            F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")
+        ).distinct()
+    )
+    release(rows, members)
+    return found
 
 
-def id_filter(pairs: DataFrame, bits: int = 24) -> np.ndarray:
-    """A bitmap of 2^bits places over crc32 of the ids in ``pairs``: at most 2 MB, no id is missed."""
+def id_filter(ids: DataFrame, bits: int = 24) -> np.ndarray:
+    """A bitmap of 2^bits places over crc32 of ``ids`` (an array a row): 2 MB, no id is missed."""
     place = F.crc32(F.col("id").cast("string").cast("binary")) % (1 << bits)
     words = (
-        pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        ids.select(F.explode("ids").alias("id"))
         .select((place / 32).cast("long").alias("word"), (place % 32).cast("int").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
@@ -293,24 +406,15 @@ def full_sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 
     A bitmap of their ids keeps most other texts from being shingled; a chance hit only costs.
     """
-    bits = 24
-    bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(pairs, bits))
+    marks = id_filter(pairs.select(F.array("a", "b").alias("ids")))
+    sets = shingle_sets(docs, docs.sparkSession.sparkContext.broadcast(marks), width)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, marks = per_process("word hashes", WordHashes), bitmap.value
-        for batch in short_batches(batches, "text"):
-            ids, sets = [], []
-            for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
-                if doc_id is None:
-                    continue
-                place = zlib.crc32(str(doc_id).encode()) % (1 << bits)
-                if int(marks[place >> 5]) >> (place & 31) & 1:
-                    shingles = shingle_set(words_of(text), width, hashes)
-                    if len(shingles):
-                        ids.append(doc_id)
-                        sets.append(shingles.tobytes())
+        for found in sets(batches):
+            ids, shingles = [i for i, _ in found], [x.tobytes() for _, x in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"]
+                [pa.array(ids, pa.int64()), pa.array(shingles, pa.binary())],
+                names=["node", "shingles"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(build, "node long, shingles binary")
@@ -391,13 +495,19 @@ def near_duplicates(
     if not more.isEmpty():
         links = links.unionByName(more)
         components = stored(connected_components(links, "a", "b"))
-    tried = pairs.select("a", "b")
-    crowded = stored(crowded_candidates(sets, components, percent).join(tried, ["a", "b"], "left_anti"))
+    tried = stored(pairs.select("a", "b"))
+    release(pairs, texts)
+    crowded = stored(crowded_sets(sets, components))
     if not crowded.isEmpty():
-        more = stored(confirmed(crowded, full_sets(source, crowded, width), percent))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            components = stored(connected_components(links, "a", "b"))
+        found = crowded_candidates(source, crowded, width, percent)
+        open_ = stored(found.join(tried, ["a", "b"], "left_anti"))
+        if not open_.isEmpty():
+            texts = stored(full_sets(source, open_, width))
+            more = stored(confirmed(open_, texts, percent))
+            release(texts)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                components = stored(connected_components(links, "a", "b"))
     named = stored(
         sets.join(components, "node", "left").select(
             "set_key", F.coalesce("component", "node").alias("component_id")
