@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -9,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,14 +57,22 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target.getFileSystem(conf).delete(target, True)
+
+
 def release(*tables: DataFrame) -> None:
-    """Deletes ``stored`` tables that nothing will read again."""
+    """Deletes ``stored`` tables that nothing will read again, and lets Spark's cleaner drop the
+    shuffle files and checkpoints of steps that are done: it waits for the JVM's own collection,
+    which a driver that only plans may not need for long."""
     for table in tables:
-        sc = table.sparkSession.sparkContext
         for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
             if folder.rpartition("/")[2].startswith("table-"):
-                target = sc._jvm.org.apache.hadoop.fs.Path(folder)
-                target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+                delete(table.sparkSession, folder)
+    gc.collect()
+    SparkContext._active_spark_context._jvm.System.gc()
 
 
 def sent(spark: SparkSession, *models: Any) -> Callable[[], list[Any]]:

@@ -344,7 +344,7 @@ def crowded_candidates(
     dropped. What many sets share is cut into blocks, and every two blocks are a join key.
     """
     sc = docs.sparkSession.sparkContext
-    bitmap = sc.broadcast(id_filter(crowded.select(F.array("node").alias("ids"))))
+    bitmap = sc.broadcast(id_filter(crowded.select(F.col("node").alias("id"))))
     sets = shingle_sets(docs, bitmap, width)
     cells = sc.broadcast(shingle_cells(docs, sets))
     rows = stored(rare_shingles(docs, sets, cells, percent).join(crowded, "node"))
@@ -386,11 +386,10 @@ def crowded_candidates(
 
 
 def id_filter(ids: DataFrame, bits: int = 24) -> np.ndarray:
-    """A bitmap of 2^bits places over crc32 of ``ids`` (an array a row): 2 MB, no id is missed."""
+    """A bitmap of 2^bits places over crc32 of ``ids`` (id): 2 MB, no id is missed."""
     place = F.crc32(F.col("id").cast("string").cast("binary")) % (1 << bits)
     words = (
-        ids.select(F.explode("ids").alias("id"))
-        .select((place / 32).cast("long").alias("word"), (place % 32).cast("int").alias("bit"))
+        ids.select((place / 32).cast("long").alias("word"), (place % 32).cast("int").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
         .collect()
@@ -406,7 +405,8 @@ def full_sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 
     A bitmap of their ids keeps most other texts from being shingled; a chance hit only costs.
     """
-    marks = id_filter(pairs.select(F.array("a", "b").alias("ids")))
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    marks = id_filter(ends)
     sets = shingle_sets(docs, docs.sparkSession.sparkContext.broadcast(marks), width)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,6 +489,7 @@ def near_duplicates(
     first = nearest.unionByName(pairs.filter("chained").select("a", "b")).distinct()
     links = stored(confirmed(first, texts, percent))
     components = stored(connected_components(links, "a", "b"))
+    release()
     tried = first.withColumn("tried", F.lit(True))
     rest = labelled(pairs, components).join(tried, ["a", "b"], "left_anti")
     more = stored(confirmed(rest, texts, percent))
@@ -496,7 +497,7 @@ def near_duplicates(
         links = links.unionByName(more)
         components = stored(connected_components(links, "a", "b"))
     tried = stored(pairs.select("a", "b"))
-    release(pairs, texts)
+    release(pairs, texts)  # what is linked lives on in ``links``
     crowded = stored(crowded_sets(sets, components))
     if not crowded.isEmpty():
         found = crowded_candidates(source, crowded, width, percent)
