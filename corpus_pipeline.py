@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import stored
+from tracelight.llm.common import delete, stored
 from tracelight.llm.lsh_forest import near_duplicates
 from tracelight.llm.packing import pack_documents
 from tracelight.llm.quality_rules import judged, with_statistics
@@ -74,8 +74,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     place = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{place}/{number}-{name}"
         stage(spark, docs, folder).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:  # the stage that read it has been written
+            delete(spark, before)
+        before = path
     return docs
