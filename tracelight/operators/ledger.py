@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from tracelight.operators.running import (
     count_in_window,
     first_n_cutoff,
+    nearest_known,
     previous_value,
     running_before,
 )
@@ -262,20 +263,63 @@ def cache_stats(cache: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def dedupe_requests(calls: DataFrame) -> DataFrame:
-    """Marks all calls after the first of their content key as cached, at no cost.
+def dedupe_requests(
+    calls: DataFrame, ttl_seconds: int = 7 * 86_400, kept: Column | None = None
+) -> DataFrame:
+    """Adds ``cached`` and ``charged``: what a cache whose entries expire would have saved.
+
+    A call that finds no live entry of its content key is paid. If its result is ``kept`` (all are,
+    unless said otherwise: a failed call leaves none) it fills the cache until ``ttl_seconds``
+    later, when the next call pays again. Calls without a content key are always paid.
 
-    The first calls are stored, so that the join of a hot key can be split.
+    Which calls fill the cache is a chain: each one's successor is the key's first kept call from
+    its expiry on. Successors of all kept calls are found by one ordered scan; the chain from each
+    key's first call is then followed by pointer doubling, so that rounds grow with the logarithm
+    of its length. No step gathers a key: scans are dealt by ranges, pointers by call.
     """
-    first = cut_lineage(
-        calls.groupBy("content_key").agg(F.min(F.struct("created_at", "call_id")).alias("_first"))
+    lasts = F.expr(f"INTERVAL {ttl_seconds} SECONDS")
+    rows = cut_lineage(
+        calls.withColumn("_kept", F.coalesce(F.lit(True) if kept is None else kept, F.lit(False)))
+        .withColumn("_row", F.monotonically_increasing_id())
+    )
+    filling = rows.filter(F.col("_kept") & F.col("content_key").isNotNull())
+    key, order = ["content_key"], ["_t", "_is_call", "call_id", "_row"]
+    own = filling.select("content_key", "call_id", "_row", F.col("created_at").alias("_t"))
+    # an entry is dead at its expiry, so that moment stands before the calls of the same time
+    ends = own.withColumn("_t", F.col("_t") + lasts).withColumn("_is_call", F.lit(0))
+    moments = own.withColumn("_is_call", F.lit(1)).unionByName(ends)
+    call = F.when(F.col("_is_call") == 1, F.col("_row"))
+    jumps = cut_lineage(
+        nearest_known(moments, key, order, call, "_to", following=True)
+        .filter((F.col("_is_call") == 0) & F.col("_to").isNotNull())
+        .select(F.col("_row").alias("_from"), "_to")
+    )
+    first = F.min(F.struct("created_at", "call_id", "_row")).alias("_m")
+    reached = cut_lineage(filling.groupBy("content_key").agg(first).select("_m._row"))
+    while True:
+        more = cut_lineage(
+            reached.join(jumps, F.col("_row") == F.col("_from")).select(F.col("_to").alias("_row"))
+        )
+        if more.isEmpty():
+            break
+        reached = cut_lineage(reached.unionByName(more).distinct())
+        onward = jumps.select(F.col("_from").alias("_to"), F.col("_to").alias("_then"))
+        jumps = cut_lineage(jumps.join(onward, "_to").select("_from", F.col("_then").alias("_to")))
+    marked = rows.join(reached.withColumn("_fills", F.lit(True)), "_row", "left")
+    seen = nearest_known(
+        marked, key, ["created_at", "call_id", "_row"],
+        F.when(F.col("_fills"), F.col("created_at")), "_filled",
+    )
+    free = (
+        F.col("content_key").isNotNull()
+        & F.col("_fills").isNull()
+        & F.coalesce(F.col("created_at") < F.col("_filled") + lasts, F.lit(False))
     )
-    paid = F.struct("created_at", "call_id") == F.col("_first")
+    nothing = F.lit(0).cast("decimal(12,6)")
     return (
-        calls.join(first, "content_key")
-        .withColumn("cached", ~paid)
-        .withColumn("charged", F.when(paid, F.col("cost")).otherwise(F.lit(0).cast("decimal(12,6)")))
-        .drop("_first")
+        seen.withColumn("cached", free)
+        .withColumn("charged", F.when(free, nothing).otherwise(F.col("cost")))
+        .drop("_kept", "_row", "_fills", "_filled")
     )
 
 

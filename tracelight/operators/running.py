@@ -1,8 +1,9 @@
 """Ordered per-key calculations that do not put one key's whole history into one task.
 
-A plain window partitions by key alone, so a key with a third of all rows is one task. Here time
-is cut into buckets: the fine window runs per (key, bucket), and a small per-bucket table carries
-what each bucket must know about the ones before it.
+A plain window partitions by key alone, so a key with a third of all rows is one task. Here rows
+are dealt to ranges of (key, time) of about equal size, whatever key or day they hold; the fine
+window runs per (key, range), and a small table, one row a key and range, carries what each range
+must know about the ones before it.
 """
 
 from __future__ import annotations
@@ -11,51 +12,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tracelight.operators.ordering import placed
+
+
+def joined(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of their key and range in ``table``; null keys are equal."""
+    on = F.col("_part") == F.col("_part_of")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}_of"))
+    named = table.withColumnsRenamed({c: f"_{c.strip('_')}_of" for c in (*keys, "_part")})
+    return rows.join(named, on).drop("_part_of", *[f"_{k}_of" for k in keys])
+
 
 def running_before(
-    df: DataFrame, keys: list[str], ts: str, tie: str, value: Column, out: str, bucket: str = "day"
+    df: DataFrame, keys: list[str], ts: str, tie: str, value: Column, out: str
 ) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the key's earlier rows (0 for the first)."""
-    staged = df.withColumn("_b", F.date_trunc(bucket, F.col(ts))).withColumn("_v", value)
-    totals = staged.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    rows = placed(df.withColumn("_v", value), *keys, ts, tie)
+    totals = rows.groupBy(*keys, "_part").agg(F.sum("_v").alias("_s"))
+    so_far = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(
-        *keys, "_b", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base")
+        *keys, "_part", F.coalesce(F.sum("_s").over(so_far), F.lit(0)).alias("_base")
     )
     inside = (
-        Window.partitionBy(*keys, "_b")
-        .orderBy(ts, tie)
+        Window.partitionBy(*keys, "_part")
+        .orderBy("_at")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    summed = rows.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
     return (
-        staged.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-        .join(base, [*keys, "_b"])
+        joined(summed, base, keys)
         .withColumn(out, F.col("_base") + F.col("_in"))
-        .drop("_b", "_v", "_in", "_base")
+        .drop("_part", "_at", "_v", "_in", "_base")
     )
 
 
-def previous_value(
-    df: DataFrame, keys: list[str], ts: str, tie: str, value: str, out: str, bucket: str = "day"
+def nearest_known(
+    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
+    following: bool = False,
 ) -> DataFrame:
-    """Adds ``out``: ``value`` of the key's previous row, null for its first."""
-    staged = df.withColumn("_b", F.date_trunc(bucket, F.col(ts)))
-    lasts = staged.groupBy(*keys, "_b").agg(F.max_by(value, F.struct(ts, tie)).alias("_last"))
-    carried = lasts.select(
-        *keys, "_b", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("_carry")
-    )
-    inside = Window.partitionBy(*keys, "_b").orderBy(ts, tie)
+    """Adds ``out``: of the key's rows before (or ``following``) in ``order``, the ``value`` of the
+    nearest one that has one."""
+    rows = placed(df.withColumn("_v", value), *keys, *order)
+    known = F.when(F.col("_v").isNotNull(), F.col("_at"))
+    if following:
+        pick, edge, frame = F.first, F.min_by, (1, Window.unboundedFollowing)
+    else:
+        pick, edge, frame = F.last, F.max_by, (Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, "_part").agg(edge("_v", known).alias("_end"))
+    beyond = Window.partitionBy(*keys).orderBy("_part").rowsBetween(*frame)
+    carried = ends.select(*keys, "_part", pick("_end", ignorenulls=True).over(beyond).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(*frame)
+    found = rows.withColumn("_in", pick("_v", ignorenulls=True).over(inside))
     return (
-        staged.withColumn("_first", F.row_number().over(inside) == 1)
-        .withColumn("_prev", F.lag(value).over(inside))
-        .join(carried, [*keys, "_b"])
-        .withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev")))
-        .drop("_b", "_first", "_prev", "_carry")
+        joined(found, carried, keys)
+        .withColumn(out, F.coalesce("_in", "_carry"))
+        .drop("_part", "_at", "_v", "_in", "_carry")
     )
 
 
+def previous_value(
+    df: DataFrame, keys: list[str], ts: str, tie: str, value: str, out: str
+) -> DataFrame:
+    """Adds ``out``: ``value`` of the key's previous row, null for its first."""
+    held = nearest_known(df, keys, [ts, tie], F.struct(F.col(value).alias("v")), "_held")
+    return held.withColumn(out, F.col("_held.v")).drop("_held")
+
+
 def count_in_window(
     df: DataFrame, keys: list[str], ts: str, seconds: int, out: str
 ) -> DataFrame:
@@ -82,20 +105,19 @@ def first_n_cutoff(
 ) -> DataFrame:
     """Per key, the (ts, tie) of its n-th earliest row; keys with fewer rows are absent.
 
-    A key's rows are ranked by day; days are added up per key, and only the day that holds the
-    n-th row is looked into. A busy key is thereby spread over its days, whatever ``n`` is.
+    A key's rows are counted by range; only the range that holds the n-th row is looked into.
     """
-    rows = df.select(*keys, ts, tie).withColumn("_b", F.date_trunc("day", F.col(ts)))
-    days = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed(df.select(*keys, ts, tie), *keys, ts, tie)
+    sizes = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    so_far = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     wanted = (
-        days.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        sizes.withColumn("_before", F.coalesce(F.sum("_n").over(so_far), F.lit(0)))
         .filter((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n))
-        .select(*keys, "_b", "_before")
+        .select(*keys, "_part", "_before")
     )
-    inside = Window.partitionBy(*keys, "_b").orderBy(ts, tie)
+    inside = Window.partitionBy(*keys, "_part").orderBy("_at")
     return (
-        rows.join(wanted, [*keys, "_b"])
+        joined(rows, wanted, keys)
         .withColumn("_rn", F.row_number().over(inside))
         .filter(F.col("_before") + F.col("_rn") == n)
         .select(*keys, F.struct(ts, tie).alias("cutoff"))

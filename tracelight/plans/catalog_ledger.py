@@ -381,11 +381,20 @@ def _(t: Tables):
 
 @query(
     "dedupe_requests",
-    f"""WITH {src.CALLS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY content_key ORDER BY created_at, call_id) AS i FROM calls)
-    SELECT call_id, i > 1 AS cached, CASE WHEN i = 1 THEN micros ELSE 0 END / 1e6 AS charged FROM r""",
+    f"""WITH RECURSIVE {src.CALLS_SQL}, s AS MATERIALIZED (SELECT content_key, {{'t': created_at, 'id': call_id}} AS c FROM calls
+      WHERE status <> 'failed' AND content_key IS NOT NULL),
+    p AS MATERIALIZED (SELECT a.content_key, a.c, min(b.c) AS next FROM s a JOIN s b ON a.content_key = b.content_key
+      AND b.c.t >= a.c.t + INTERVAL 7 DAY GROUP BY 1, 2),
+    o AS (SELECT content_key, min(c) AS c FROM s GROUP BY 1 UNION ALL SELECT p.content_key, p.next FROM o JOIN p ON p.content_key = o.content_key AND p.c = o.c),
+    f AS (SELECT call_id, bool_or(o.c.id <> call_id AND o.c.t + INTERVAL 7 DAY > created_at AND o.c < {{'t': created_at, 'id': call_id}}) AS cached
+      FROM calls JOIN o USING (content_key) GROUP BY 1)
+    SELECT call_id, coalesce(cached, false) AS cached, CASE WHEN cached THEN 0 ELSE micros END / 1e6 AS charged FROM calls LEFT JOIN f USING (call_id)""",
 )
 def _(t: Tables):
-    return op.dedupe_requests(src.calls(t.events)).select("call_id", "cached", "charged")
+    calls = src.calls(t.events)
+    return op.dedupe_requests(calls, kept=F.col("status") != "failed").select(
+        "call_id", "cached", "charged"
+    )
 
 
 @query(
