@@ -81,10 +81,21 @@ def _(t: Tables):
     WHERE length(text) <= 200000 AND regexp_matches(text, '\\S')""",
 )
 def _(t: Tables):
-    table = jobs.stream_ingest(_streams(t).documents, jobs.scratch(t.spark))
+    table, _ = jobs.stream_ingest(_streams(t).documents, jobs.scratch(t.spark))
     return table.select("doc_id", "canonical_sha256", "shingle_count")
 
 
+@query(
+    "stream_ingest_rejected",
+    r"""SELECT doc_id, CASE WHEN text IS NULL OR NOT regexp_matches(text, '\S') THEN 'EMPTY' ELSE 'TOO_LARGE' END AS reason,
+      length(text)::BIGINT AS n_chars FROM documents
+    WHERE text IS NULL OR NOT regexp_matches(text, '\S') OR length(text) > 200000""",
+)
+def _(t: Tables):
+    _, rejected = jobs.stream_ingest(_streams(t).documents, jobs.scratch(t.spark))
+    return rejected.select("doc_id", "reason", "n_chars")
+
+
 @query(
     "sweep",
     f"""WITH {ledger.ITEMS} SELECT item_id FROM items WHERE deleted_at IS NULL AND kept_at IS NULL AND purged_at IS NULL

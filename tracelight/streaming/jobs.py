@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 from tracelight.operators.fingerprints import text_fingerprints
 from tracelight.operators.ledger import due_items
 from tracelight.operators.text import admit_documents, normalize_corpus
+from tracelight.streaming.keyed import KeyedTable
 from tracelight.session import checkpoint_folder
 
 # the limiter's code travels by value: workers need no copy of this package
@@ -63,24 +64,36 @@ def run_available(
     A stream without rows gives an empty table of the same columns.
     """
     spark = stream.sparkSession
-    ran: list[int] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
         prepare(batch).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+
+    ran = drain(stream, folder, write, mode)
+    if not ran and not sink_exists(spark, f"{folder}/rows"):
+        nothing = prepare(spark.createDataFrame([], stream.schema))
+        return nothing.withColumn("batch", F.lit(0))
+    return spark.read.parquet(f"{folder}/rows")
+
+
+def drain(
+    stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None], mode: str = "append"
+) -> list[int]:
+    """Processes everything available through ``write``; the numbers of the batches that ran."""
+    ran: list[int] = []
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
         ran.append(batch_id)
 
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{folder}/offsets")
         .trigger(availableNow=True)
-        .foreachBatch(write)
+        .foreachBatch(each)
         .start()
     )
     query.awaitTermination()
-    if not ran and not sink_exists(spark, f"{folder}/rows"):
-        nothing = prepare(spark.createDataFrame([], stream.schema))
-        return nothing.withColumn("batch", F.lit(0))
-    return spark.read.parquet(f"{folder}/rows")
+    return ran
 
 
 def sink_exists(spark: SparkSession, path: str) -> bool:
@@ -207,15 +220,43 @@ def stream_dedupe(events: DataFrame, key: str, ts: str, ttl: str) -> DataFrame:
 # -- ingestion and retention ----------------------------------------------------------------------
 
 
-def ingest_batch(documents: DataFrame) -> DataFrame:
-    """Admit, normalise and fingerprint one micro-batch of documents."""
-    accepted, _ = admit_documents(documents)
-    return text_fingerprints(normalize_corpus(accepted), keep=("doc_id", "source"))
+def ingest_batch(
+    documents: DataFrame, table: KeyedTable, folder: str, batch_id: int, version: str | None
+) -> None:
+    """Admits, normalises and fingerprints one micro-batch; what is turned away goes to a table."""
+    accepted, rejected = admit_documents(documents)
+    own = ["doc_id", "source", *([version] if version else [])]
+    table.upsert(text_fingerprints(normalize_corpus(accepted), keep=tuple(own)), batch_id)
+    told = rejected.select(*own, "reason", F.length("text").cast("long").alias("n_chars"))
+    told.write.mode("overwrite").parquet(f"{folder}/rejected/batch={batch_id}")
+
 
+def stream_ingest(
+    documents: DataFrame, folder: str, version: str | None = None, buckets: int = 64
+) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints, rejected) of a document stream.
 
-def stream_ingest(documents: DataFrame, folder: str) -> DataFrame:
-    """The fingerprint table of a document stream: a document's newest version replaces older."""
-    return latest_by_key(run_available(documents, folder, prepare=ingest_batch), "doc_id")
+    Fingerprints are a keyed table: of a document's rows the one of the highest ``version`` stays,
+    whatever batch brought it; without versions that of the latest batch. A rejected row replaces
+    nothing and is listed with its batch and reason. Every batch overwrites what it wrote itself.
+    """
+    spark = documents.sparkSession
+    table = KeyedTable(
+        spark, f"{folder}/fingerprints", ["doc_id"], [version] if version else [], buckets
+    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        ingest_batch(batch, table, folder, batch_id, version)
+
+    ran = drain(documents, folder, write)
+    if not ran and not table.batches():
+        write(spark.createDataFrame([], documents.schema), 0)
+    rows = table.read()
+    if rows is None:
+        own = ("doc_id", "source", *([version] if version else []))
+        nothing = spark.createDataFrame([], documents.schema)
+        rows = text_fingerprints(normalize_corpus(nothing), keep=own)
+    return rows, spark.read.parquet(f"{folder}/rejected")
 
 
 def sweep(items: DataFrame, now: Column, folder: str) -> DataFrame:
