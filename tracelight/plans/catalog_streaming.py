@@ -8,7 +8,7 @@ from tracelight.plans import catalog_ledger as ledger
 from tracelight.plans.derive import fp_sql
 from tracelight.plans.registry import Tables, query
 from tracelight.sources import tables as src
-from tracelight.streaming import jobs
+from tracelight.streaming import jobs, retention
 
 
 class Streams(Tables):
@@ -98,9 +98,18 @@ def _(t: Tables):
 
 @query(
     "sweep",
-    f"""WITH {ledger.ITEMS} SELECT item_id FROM items WHERE deleted_at IS NULL AND kept_at IS NULL AND purged_at IS NULL
-      AND retention_at <= TIMESTAMP '{ledger.NOW}'""",
+    f"""WITH {ledger.ITEMS}, {src.CALLS_SQL}
+    SELECT 'content_expired' AS pass, item_id AS id FROM items WHERE deleted_at IS NULL AND kept_at IS NULL AND purged_at IS NULL
+      AND retention_at <= TIMESTAMP '{ledger.NOW}'
+    UNION ALL SELECT 'payloads_purged', call_id FROM calls WHERE created_at < TIMESTAMP '{ledger.NOW}' - INTERVAL 30 DAY AND payload IS NOT NULL
+    UNION ALL SELECT 'records_retired', item_id FROM items WHERE deleted_at IS NULL AND created_at < TIMESTAMP '{ledger.NOW}' - INTERVAL 900 DAY
+    UNION ALL SELECT 'records_purged', item_id FROM items WHERE deleted_at < TIMESTAMP '{ledger.NOW}' - INTERVAL 14 DAY""",
 )
 def _(t: Tables):
-    now = F.lit(ledger.NOW).cast("timestamp")
-    return jobs.sweep(ledger.items(_streams(t)), now, jobs.scratch(t.spark)).drop("batch")
+    now, streams = F.lit(ledger.NOW).cast("timestamp"), _streams(t)
+    rows = retention.retained(
+        ledger.items(streams).withColumn("arrived", now),
+        src.calls(streams.events).withColumn("arrived", now),
+    )
+    swept = retention.stream_sweep(rows, retention.Policy(30, 900, 14))
+    return jobs.run_available(swept, jobs.scratch(t.spark)).select("pass", "id")
