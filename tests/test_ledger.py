@@ -107,3 +107,13 @@ def test_formats_by_leading_bytes(spark, tmp_path, head, kind):
     assert (row.format, row.reason) == (kind, None if kind else "UNSUPPORTED")
     big = files.ingest_files(spark, str(tmp_path), max_bytes=3).first()
     assert (big.reason, big.sha256) == ("TOO_LARGE", None)
+
+
+def test_deep_pages(spark, monkeypatch):
+    """Every page of a table is the same whether it is taken near or deep."""
+    rows = [(i, 1, datetime(2024, 1, 1 + i % 7), None) for i in range(1, 301)]
+    items = spark.createDataFrame(rows, "item_id long, owner long, created_at timestamp, deleted_at timestamp")
+    near = [[r["item_id"] for r in ledger.page_items(items, p, 40).collect()] for p in (1, 4, 8, 9)]
+    monkeypatch.setattr(ledger, "NEAR", 0)
+    deep = [[r["item_id"] for r in ledger.page_items(items, p, 40).collect()] for p in (1, 4, 8, 9)]
+    assert near == deep and [len(p) for p in near] == [40, 40, 20, 0]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tracelight.operators.ordering import ranked
 from tracelight.operators.running import (
     count_in_window,
     first_n_cutoff,
@@ -18,6 +19,7 @@ from tracelight.operators.running import (
 )
 from tracelight.session import cut_lineage
 
+NEAR = 10_000  # rows up to which a page is taken without ranking all
 ALLOWED_MOVES = {"queued": ["processing", "failed"], "processing": ["completed", "failed"]}
 
 
@@ -42,10 +44,22 @@ def counts_by_type(items: DataFrame) -> DataFrame:
 
 
 def page_items(items: DataFrame, page: int, size: int, owner: object | None = None) -> DataFrame:
-    """One page, newest first with the id as tie-break, and the total beside every row."""
+    """One page, newest first with the id as tie-break, and the total beside every row.
+
+    A page near the beginning is taken by each task from its own newest rows. Deeper pages would
+    take all rows before them through one task, so there rows are ranked by ranges instead and
+    only those of the page go on.
+    """
     live = live_items(items, owner)
     total = live.agg(F.count(F.lit(1)).alias("total"))
-    rows = live.orderBy(F.desc("created_at"), F.desc("item_id")).offset((page - 1) * size).limit(size)
+    newest, skipped = (F.desc("created_at"), F.desc("item_id")), (page - 1) * size
+    if skipped + size <= NEAR:
+        rows = live.orderBy(*newest).offset(skipped).limit(size)
+    else:
+        place = F.col("_place")
+        numbered = ranked(live, *newest, name="_place")
+        rows = numbered.filter((place > skipped) & (place <= skipped + size)).orderBy("_place")
+        rows = rows.drop("_place")
     return rows.join(F.broadcast(total))  # one row by construction
 
 
