@@ -104,3 +104,22 @@ def test_near_edges(odd):
 def test_redaction_keeps_columns(odd):
     out = secret_forest.redact_secrets(odd)
     assert out.columns == odd.columns and out.schema["text"].dataType == odd.schema["text"].dataType
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_ids_of_other_types(odd, labels, kind):
+    docs = odd.filter("coalesce(doc_id, 0) <> 4").withColumn("doc_id", F.col("doc_id").cast(kind))
+    for build in (languages, pii, PER_ID["tokens"], PER_ID["scores"], OTHER["pieces"], OTHER["secrets"]):
+        out = build(docs, labels)
+        assert dict(out.dtypes)["doc_id"] == kind
+        out.write.format("noop").mode("overwrite").save()
+
+
+def test_pieces_with_clashing_columns(odd):
+    names = {"_group": 1, "_group_": 2, "offset": 3, "sequence_id": 4}
+    pieces = packing.stored(packing.tokenized_pieces(odd, 64))
+    clashing = packing.stored(pieces.withColumns({k: F.lit(v) for k, v in names.items()}))
+    out = packing.pack(clashing, 64)
+    assert out.count() == pieces.count()
+    assert out.agg(F.max("_group"), F.max("_group_")).first()[:] == (1, 2)
+    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 64").isEmpty()
