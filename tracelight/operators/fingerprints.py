@@ -87,21 +87,27 @@ def minhash_signatures(
     return hashed.mapInArrow(_min_hashes(k), schema)
 
 
-def text_fingerprints(
+def text_hashes(
     df: DataFrame, text: str = "text", normalized: str = "normalized", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """The fingerprint table: ``keep`` columns, three hashes, shingle count and signature.
-
-    The texts themselves are not part of it, so they never travel beyond the scan's stage.
-    """
-    hashed = df.withColumn("canonical", T.canonical(F.col(normalized))).select(
+    """``keep`` columns, the three hashes and the canonical text."""
+    return df.withColumn("canonical", T.canonical(F.col(normalized))).select(
         *keep,
         F.sha2(text, 256).alias("sha256"),
         F.sha2(normalized, 256).alias("normalized_sha256"),
         F.sha2("canonical", 256).alias("canonical_sha256"),
         "canonical",
     )
-    return minhash_signatures(hashed)
+
+
+def text_fingerprints(
+    df: DataFrame, text: str = "text", normalized: str = "normalized", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """The fingerprint table: ``keep`` columns, three hashes, shingle count and signature.
+
+    The texts themselves are not part of it, so they never travel beyond the scan's stage.
+    """
+    return minhash_signatures(text_hashes(df, text, normalized, keep))
 
 
 def jaccard(a, b, k: int = PERMUTATIONS):

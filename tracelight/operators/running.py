@@ -47,6 +47,28 @@ def running_before(
     )
 
 
+def highest_so_far(
+    df: DataFrame, keys: list[str], order: list[str], value: str, out: str
+) -> DataFrame:
+    """Adds ``out``: the largest ``value`` of the key's rows up to this one in ``order``, null where
+    none has one."""
+    rows = placed(df, *keys, *order)
+    tops = rows.groupBy(*keys, "_part").agg(F.max(value).alias("_top"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*keys, "_part", F.max("_top").over(before).alias("_carry"))
+    inside = (
+        Window.partitionBy(*keys, "_part")
+        .orderBy("_at")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    found = rows.withColumn("_in", F.max(value).over(inside))
+    return (
+        joined(found, carried, keys)
+        .withColumn(out, F.greatest("_in", "_carry"))
+        .drop("_part", "_at", "_in", "_carry")
+    )
+
+
 def nearest_known(
     df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
     following: bool = False,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.functions import text as T
-from tracelight.operators.fingerprints import permutations, text_fingerprints
+from tracelight.operators.fingerprints import permutations, text_fingerprints, text_hashes
 from tracelight.operators.text import normalize_corpus
 
 
@@ -137,6 +137,10 @@ VARIANTS_SQL = """variants AS (
   UNION ALL SELECT doc_id + 2000000000, '-- ' || text, lang, source FROM documents WHERE doc_id % 5 = 0)"""
 
 
+def hashes(documents: DataFrame) -> DataFrame:
+    return text_hashes(normalize_corpus(documents), keep=("doc_id", "source")).drop("canonical")
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
     return text_fingerprints(normalize_corpus(documents), keep=("doc_id", "source"))
 
