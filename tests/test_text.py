@@ -97,3 +97,13 @@ def test_entities_and_hosts(spark):
 def test_unknown_zone_is_not_a_zone(spark):
     df = spark.createDataFrame([("2024-01-02T03:04:05",)], "raw string")
     assert df.select(timeparse.tz_known(F.col("raw"))).first()[0] is False
+
+
+def test_times_between_line_ends_are_read(spark):
+    rows = ["2024-01-05\n", " 2024-01-05 10:00:00\r\n", "2024-01-05T10:00+02:30", "2024-02-30", "\n", None]
+    df = spark.createDataFrame([(r,) for r in rows], "raw string")
+    got = df.select(
+        F.unix_timestamp(timeparse.instant(F.col("raw"))).alias("t"), timeparse.tz_known(F.col("raw")).alias("z")
+    ).collect()
+    assert [r["t"] for r in got] == [1704412800, 1704448800, 1704439800, None, None, None]
+    assert [r["z"] for r in got] == [False, False, True, False, False, False]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracelight.functions.columns import let
+
 # Accepted shapes. Separators of the date may be ':' or '-'.
 STAMP = (
     r"^(\d{4})[:-](\d{2})[:-](\d{2})[ T](\d{2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?"
@@ -17,7 +19,9 @@ WEEK = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?$"
 
 
 def whole(raw: Column) -> Column:
-    return F.regexp_replace(F.trim(raw), SHORT_OFFSET, "$1:00")
+    text = F.trim(raw.cast("string"), F.lit(" \t\r\n"))
+    offset = F.substring(text, -3, 1).isin("+", "-")
+    return F.when(offset, F.regexp_replace(text, SHORT_OFFSET, "$1:00")).otherwise(text)
 
 
 def week_day(text: Column) -> Column:
@@ -31,36 +35,58 @@ def week_day(text: Column) -> Column:
     return F.when(right, found.cast("timestamp"))
 
 
+def _stamped(text: Column, rest: Column) -> Column:
+    """The instant of a text of the shape STAMP, whose ``rest`` follows the minutes."""
+    seconds = F.when(rest.startswith(":"), F.substring(rest, 2, 2)).otherwise("00")
+    local = F.concat(
+        F.substring(text, 1, 4), F.lit("-"), F.substring(text, 6, 2), F.lit("-"),
+        F.substring(text, 9, 2), F.lit(" "), F.substring(text, 12, 5), F.lit(":"), seconds,
+    ).try_cast("timestamp")
+
+    def shifted(zone: Column) -> Column:
+        minutes = (
+            F.substring(zone, 2, 2).try_cast("int") * 60 + F.right(zone, F.lit(2)).try_cast("int")
+        )
+        shift = (
+            F.when(zone.isin("", "Z"), 0).when(F.left(zone, F.lit(1)) == "-", -minutes).otherwise(minutes)
+        )
+        at = F.timestamp_micros(F.unix_micros(local) - shift.cast("long") * 60_000_000)
+        return F.struct(at.alias("at"), (at.isNotNull() & (zone != "")).alias("zoned"))
+
+    return let(F.regexp_replace(rest, "^[0-9:.]+", ""), shifted)
+
+
+def reading(raw: Column) -> Column:
+    """(at, zoned): the UTC instant of ``raw``, null when unreadable, and whether it names a zone.
+
+    A time without a zone is placed as if UTC. A text is matched against each shape once; the
+    fields of a stamp then lie at fixed places.
+    """
+
+    def plain(at: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(False).alias("zoned"))
+
+    def shaped(text: Column) -> Column:
+        digits = F.replace(text, F.lit("-"), F.lit(""))
+        day = F.concat(
+            F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 2), F.lit("-"), F.substring(digits, 7, 2)
+        ).try_cast("timestamp")
+        return (
+            F.when(text.startswith("0000") | text.isNull(), plain(F.lit(None).cast("timestamp")))
+            .when(text.rlike(STAMP), _stamped(text, F.substring(text, F.lit(17), F.length(text))))
+            .when(text.rlike(DATE), plain(day))
+            .when(text.rlike(WEEK), plain(week_day(text)))
+            .otherwise(plain(F.lit(None).cast("timestamp")))
+        )
+
+    return let(whole(raw), shaped)
+
+
 def tz_known(raw: Column) -> Column:
     """Whether a *readable* timestamp carries a zone; false for junk."""
-    text = whole(raw)
-    zone = F.regexp_extract(text, STAMP, 7)
-    return F.coalesce(instant(raw).isNotNull() & (zone != ""), F.lit(False))
+    return F.coalesce(reading(raw)["zoned"], F.lit(False))
 
 
 def instant(raw: Column) -> Column:
     """UTC timestamp; a time without a zone is placed as if UTC; null when unreadable."""
-    text = whole(raw)
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, STAMP, i)
-
-    seconds = F.when(part(6) == "", F.lit("00")).otherwise(part(6))
-    local = F.try_to_timestamp(
-        F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "),
-                 part(4), F.lit(":"), part(5), F.lit(":"), seconds),
-        F.lit("yyyy-MM-dd HH:mm:ss"),
-    )
-    zone = part(7)
-    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.right(zone, F.lit(2)).try_cast("int")
-    shift = F.when(zone.isin("", "Z"), 0).when(F.left(zone, F.lit(1)) == "-", -minutes).otherwise(minutes)
-    day = F.try_to_timestamp(
-        F.regexp_replace(text, DATE, "$1-$2-$3"), F.lit("yyyy-MM-dd")
-    )
-    stamped = F.timestamp_micros(F.unix_micros(local) - shift.cast("long") * 60_000_000)
-    readable = ~text.startswith("0000")
-    return (
-        F.when(readable & text.rlike(STAMP), stamped)
-        .when(readable & text.rlike(DATE), day)
-        .when(readable & text.rlike(WEEK), week_day(text))
-    )
+    return reading(raw)["at"]

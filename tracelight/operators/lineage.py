@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelight.functions import timeparse
 from tracelight.functions.columns import let
 from tracelight.operators.rules import ALGORITHMIC
+from tracelight.session import cut_lineage
 
 # Where each field is looked up, first match wins.
 PRECEDENCE = {
@@ -63,6 +64,7 @@ GENERATOR_KEYS = {
     "fooocus_scheme": "Fooocus",
     "generation_data": "unspecified AI generator",
 }
+# What generation parameters look like, and the tags searched for them.
 PAYLOAD = (
     r'(?i)"(steps|sampler|cfg_scale|scale|seed|uc|prompt|denoising_strength|model_hash)"\s*:'
     r"|\bSteps:\s*\d+|\bSampler:|\bCFG scale:|\bSeed:\s*\d+|\bModel hash:"
@@ -330,7 +332,9 @@ _MANIFEST = """struct<claim_generator:string,title:string,
   assertions:array<struct<label:string,data:string>>>"""
 STORE = f"struct<active_manifest:string,manifests:map<string,{_MANIFEST}>,validation_status:array<struct<code:string,explanation:string>>>"
 _ACTIONS = "struct<actions:array<struct<action:string,when:string,softwareAgent:string,digitalSourceType:string>>>"
+_ACTION_LIST = "array<struct<action:string,when:string,softwareAgent:string,digitalSourceType:string>>"
 _AGENT = "struct<name:string,version:string>"
+# Assertion labels.
 ACTION_LABELS = ["c2pa.actions", "c2pa.actions.v2"]
 TRAINING_LABELS = ["c2pa.training-mining", "cawg.training-mining"]
 HASH_LABELS = ["c2pa.hash.data", "c2pa.hash.boxes", "c2pa.hash.bmff", "c2pa.hash.bmff.v2"]
@@ -344,100 +348,143 @@ class ManifestTables(NamedTuple):
     codes: DataFrame
 
 
-def flatten_manifests(raw: DataFrame) -> ManifestTables:
-    """Raw manifest JSON (item_id, store) as flat tables.
+def _agent(value: Column) -> Column:
+    """Name and version of a software agent given as JSON object or as plain text."""
+    as_json = value.startswith("{")
+    return let(
+        F.from_json(F.when(as_json, value), _AGENT),
+        lambda nested: F.struct(
+            F.coalesce(nested["name"], F.when(~as_json, value)).alias("name"),
+            nested["version"].alias("version"),
+        ),
+    )
 
-    summary: one row per item; actions: (item, position, action, when, agent, source_type);
-    agents: distinct (item, name, version); edges: (item, parent, child)
-    manifest labels; codes: (item, code, explanation).
-    """
-    parsed = raw.select("item_id", F.from_json("store", STORE).alias("s"))
-    active = F.coalesce(
-        F.col("s.manifests")[F.col("s.active_manifest")], F.get(F.map_values("s.manifests"), F.lit(0))
+
+def _actions_of(assertions: Column) -> Column:
+    """The actions of all action assertions, read once, in order."""
+    lists = F.transform(
+        F.filter(assertions, lambda x: x["label"].isin(*ACTION_LABELS)),
+        lambda x: F.coalesce(F.from_json(x["data"], _ACTIONS)["actions"], F.array().cast(_ACTION_LIST)),
+    )
+    return F.transform(
+        F.flatten(lists),
+        lambda x: F.struct(
+            x["action"].alias("action"),
+            x["when"].alias("when"),
+            _agent(x["softwareAgent"]).alias("agent"),
+            F.when(F.trim(x["digitalSourceType"]) != "", short_source_type(x["digitalSourceType"])).alias("source_type"),
+        ),
     )
-    base = parsed.select("item_id", "s", active.alias("a"))
-    assertions = F.col("a.assertions")
 
-    def data_of(labels: list[str]) -> Column:
-        return F.get(F.filter(assertions, lambda x: x["label"].isin(*labels)), F.lit(0))["data"]
 
-    action_lists = F.flatten(
-        F.transform(
-            F.filter(assertions, lambda x: x["label"].isin(*ACTION_LABELS)),
-            lambda x: F.coalesce(F.from_json(x["data"], _ACTIONS)["actions"], F.array().cast("array<struct<action:string,when:string,softwareAgent:string,digitalSourceType:string>>")),
-        )
+def _integrity(statuses: Column) -> Column:
+    return F.filter(statuses, lambda c: code_family(c["code"], c["explanation"]) == "integrity")
+
+
+def _summary(store: Column, active: Column, actions: Column, named: Column) -> Column:
+    assertions = active["assertions"]
+
+    def data_of(labels: list[str], shape: str) -> Column:
+        first = F.get(F.filter(assertions, lambda x: x["label"].isin(*labels)), F.lit(0))
+        return F.from_json(first["data"], shape)
+
+    statuses = F.coalesce(
+        store["validation_status"], F.array().cast("array<struct<code:string,explanation:string>>")
     )
+    bad_ingredients = F.filter(active["ingredients"], lambda i: F.size(_integrity(i["validation_status"])) > 0)
+    training = F.map_entries(data_of(TRAINING_LABELS, "struct<entries:map<string,struct<use:string>>>")["entries"])
+    hash_shape = "struct<alg:string,exclusions:array<struct<start:bigint,length:bigint>>>"
 
-    def agent(value: Column) -> Column:
-        nested = F.from_json(F.when(value.startswith("{"), value), _AGENT)
+    def counted(n: Column) -> Column:
+        return F.coalesce(n, F.lit(0))
+
+    def verdict(hashed: Column, failures: Column) -> Column:
+        signed = F.exists(statuses, lambda c: c["code"] == "claimSignature.validated")
         return F.struct(
-            F.coalesce(nested["name"], F.when(~value.startswith("{"), value)).alias("name"),
-            nested["version"].alias("version"),
+            F.size(F.map_keys(store["manifests"])).alias("manifest_count"),
+            store["active_manifest"].alias("active_manifest"),
+            active["claim_generator"].alias("claim_generator"),
+            active["signature_info"]["issuer"].alias("signer"),
+            active["signature_info"]["time"].alias("signed_at"),
+            counted(F.size(active["ingredients"])).alias("ingredient_count"),
+            counted(F.size(bad_ingredients)).alias("ingredient_failures"),
+            counted(F.size(actions)).alias("action_count"),
+            F.size(named).alias("agent_count"),
+            F.array_compact(F.transform(actions, lambda x: x["source_type"])).alias("source_types"),
+            F.map_from_entries(
+                F.transform(training, lambda e: F.struct(e["key"].alias("k"), e["value"]["use"].alias("v")))
+            ).alias("training_mining"),
+            F.coalesce(F.exists(assertions, lambda x: x["label"] == "cawg.identity"), F.lit(False)).alias("identity_present"),
+            hashed["alg"].alias("hash_alg"),
+            counted(F.size(hashed["exclusions"])).alias("excluded_ranges"),
+            failures.alias("integrity_failures"),
+            (signed & (failures == 0)).alias("valid_signature"),
         )
 
-    actions = (
-        base.select("item_id", F.posexplode_outer(action_lists).alias("position", "x"))
-        .filter(F.col("x").isNotNull())
-        .select(
-            "item_id", "position", "x.action", "x.when", agent(F.col("x.softwareAgent")).alias("agent"),
-            F.when(F.trim("x.digitalSourceType") != "", short_source_type(F.col("x.digitalSourceType"))).alias("source_type"),
-        )
-    )
-    listed = F.coalesce(F.col("a.claim_generator_info"), F.array().cast(f"array<{_AGENT}>"))
-    named = F.array_distinct(
-        F.filter(
-            F.concat(F.transform(F.coalesce(action_lists, F.array().cast("array<struct<action:string,when:string,softwareAgent:string,digitalSourceType:string>>")), lambda x: agent(x["softwareAgent"])), listed),
-            lambda x: F.coalesce(x["name"], F.lit("")) != "",
-        )
-    )
-    agents = base.select("item_id", F.explode_outer(named).alias("g")).filter(
-        F.col("g").isNotNull()
-    ).select("item_id", "g.name", "g.version")
-    edges = (
-        base.select("item_id", F.explode_outer("s.manifests").alias("parent", "m"))
-        .select("item_id", "parent", F.explode_outer("m.ingredients").alias("i"))
-        .filter(F.col("i.active_manifest").isNotNull())
-        .select("item_id", "parent", F.col("i.active_manifest").alias("child"))
+    return let(
+        data_of(HASH_LABELS, hash_shape),
+        lambda hashed: let(F.size(_integrity(statuses)), lambda failures: verdict(hashed, failures)),
     )
-    codes = (
-        base.select("item_id", F.explode_outer("s.validation_status").alias("c"))
-        .filter(F.col("c.code").isNotNull())
-        .select("item_id", "c.code", "c.explanation")
+
+
+def _flattened(store: Column) -> Column:
+    """One parsed store as a struct of its summary row and the rows of the four other tables."""
+    edges = F.flatten(
+        F.transform(
+            F.map_entries(store["manifests"]),
+            lambda m: F.transform(
+                F.coalesce(m["value"]["ingredients"], F.array()),
+                lambda i: F.struct(m["key"].alias("parent"), i["active_manifest"].alias("child")),
+            ),
+        )
     )
-    statuses = F.coalesce(F.col("s.validation_status"), F.array().cast("array<struct<code:string,explanation:string>>"))
-    failures = F.size(F.filter(statuses, lambda c: code_family(c["code"], c["explanation"]) == "integrity"))
-    signed = F.exists(statuses, lambda c: c["code"] == "claimSignature.validated")
-    bad_ingredients = F.size(
-        F.filter(
-            F.col("a.ingredients"),
-            lambda i: F.exists(
-                i["validation_status"], lambda c: code_family(c["code"], c["explanation"]) == "integrity"
+
+    def packed(active: Column, actions: Column) -> Column:
+        listed = F.coalesce(active["claim_generator_info"], F.array().cast(f"array<{_AGENT}>"))
+        used = F.coalesce(F.transform(actions, lambda x: x["agent"]), F.array().cast(f"array<{_AGENT}>"))
+        agents = F.array_distinct(
+            F.filter(F.concat(used, listed), lambda x: F.coalesce(x["name"], F.lit("")) != "")
+        )
+        return let(
+            agents,
+            lambda named: F.struct(
+                _summary(store, active, actions, named).alias("summary"),
+                actions.alias("actions"),
+                named.alias("agents"),
+                F.filter(edges, lambda e: e["child"].isNotNull()).alias("edges"),
+                F.filter(store["validation_status"], lambda c: c["code"].isNotNull()).alias("codes"),
             ),
         )
+
+    active = F.coalesce(
+        store["manifests"][store["active_manifest"]], F.get(F.map_values(store["manifests"]), F.lit(0))
     )
-    training = F.from_json(data_of(TRAINING_LABELS), "struct<entries:map<string,struct<use:string>>>")["entries"]
-    hashed = F.from_json(data_of(HASH_LABELS), "struct<alg:string,exclusions:array<struct<start:bigint,length:bigint>>>")
-    summary = base.select(
-        "item_id",
-        F.size(F.map_keys("s.manifests")).alias("manifest_count"),
-        F.col("s.active_manifest").alias("active_manifest"),
-        F.col("a.claim_generator").alias("claim_generator"),
-        F.col("a.signature_info.issuer").alias("signer"),
-        F.col("a.signature_info.time").alias("signed_at"),
-        F.coalesce(F.size("a.ingredients"), F.lit(0)).alias("ingredient_count"),
-        F.coalesce(bad_ingredients, F.lit(0)).alias("ingredient_failures"),
-        F.coalesce(F.size(action_lists), F.lit(0)).alias("action_count"),
-        F.size(named).alias("agent_count"),
-        F.array_compact(
-            F.transform(action_lists, lambda x: F.when(F.trim(x["digitalSourceType"]) != "", short_source_type(x["digitalSourceType"])))
-        ).alias("source_types"),
-        F.map_from_entries(
-            F.transform(F.map_entries(training), lambda e: F.struct(e["key"].alias("k"), e["value"]["use"].alias("v")))
-        ).alias("training_mining"),
-        F.coalesce(F.exists(assertions, lambda x: x["label"] == "cawg.identity"), F.lit(False)).alias("identity_present"),
-        hashed["alg"].alias("hash_alg"),
-        F.coalesce(F.size(hashed["exclusions"]), F.lit(0)).alias("excluded_ranges"),
-        failures.alias("integrity_failures"),
-        (signed & (failures == 0)).alias("valid_signature"),
+    return let(active, lambda a: let(_actions_of(a["assertions"]), lambda acts: packed(a, acts)))
+
+
+def flatten_manifests(raw: DataFrame) -> ManifestTables:
+    """Raw manifest JSON (item_id, store) as flat tables.
+
+    summary: one row per item; actions: (item, position, action, when, agent, source_type);
+    agents: distinct (item, name, version); edges: (item, parent, child)
+    manifest labels; codes: (item, code, explanation).
+
+    Each store is parsed once into a row that holds what all five tables need; that row is stored
+    and the tables are read from it.
+    """
+    rows = cut_lineage(
+        raw.select("item_id", let(F.from_json("store", STORE), _flattened).alias("f"))
+    )
+
+    def listed(name: str) -> DataFrame:
+        return rows.select("item_id", F.posexplode_outer(f"f.{name}").alias("position", "x")).filter(
+            F.col("x").isNotNull()
+        )
+
+    return ManifestTables(
+        rows.select("item_id", "f.summary.*"),
+        listed("actions").select("item_id", "position", "x.*"),
+        listed("agents").select("item_id", "x.name", "x.version"),
+        listed("edges").select("item_id", "x.parent", "x.child"),
+        listed("codes").select("item_id", "x.code", "x.explanation"),
     )
-    return ManifestTables(summary, actions, agents, edges, codes)

@@ -6,25 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.functions import timeparse
+from tracelight.functions.columns import let
 from tracelight.operators.evidence import has_rule, level_of, with_records
 from tracelight.operators.rules import is_true
 from tracelight.thresholds import Thresholds
 
 
-
 def _event(kind: Column, certainty: Column, text: Column, source: str, raw: Column, rule: Column,
            parse: Column | None = None, tz: Column | None = None) -> Column:
-    read = raw if parse is None else parse
-    return F.struct(
-        kind.alias("event_type"),
-        certainty.alias("certainty"),
-        text.alias("description"),
-        F.lit(source).alias("source"),
-        timeparse.instant(read).alias("event_time"),
-        raw.cast("string").alias("raw_time"),
-        (timeparse.tz_known(read) if tz is None else tz).alias("tz_known"),
-        rule.alias("source_rule"),
-    )
+    def event(read: Column) -> Column:
+        return F.struct(
+            kind.alias("event_type"),
+            certainty.alias("certainty"),
+            text.alias("description"),
+            F.lit(source).alias("source"),
+            read["at"].alias("event_time"),
+            raw.cast("string").alias("raw_time"),
+            (F.coalesce(read["zoned"], F.lit(False)) if tz is None else tz).alias("tz_known"),
+            rule.alias("source_rule"),
+        )
+
+    return let(timeparse.reading(raw if parse is None else parse), event)
 
 
 def _events(records: Column) -> Column:
