@@ -263,17 +263,71 @@ def test_scores(result, docs):
     assert sum(r["bits_per_byte"] * n for r, n in zip(held, sizes, strict=True)) < 3.5 * sum(sizes)
 
 
-def test_probabilities_add_up():
-    """Over all one-byte continuations the model's probabilities sum to one."""
+def small_model(tokens, times, table_bits=10):
     from tracelight.llm import context_mixing as m
 
-    tokens = [b"the", b"then", b"this", b""]
-    counts = np.zeros((len(m.ORDERS), 1 << 10, 2), np.float32)
-    bits = m.decisions(tokens, 10)
+    counts = np.zeros((len(m.ORDERS), 2 << table_bits), np.float32)
+    bits = m.decisions(tokens, table_bits)
     for p in range(len(m.ORDERS)):
-        np.add.at(counts[p], (bits.cells[:, p], bits.bit), 5)
-    model = m.fit(counts, tokens, np.full(4, 5.0), 10, 200)
-    odds = np.stack([model.odds[p][bits.cells[:, p]] for p in range(len(m.ORDERS))], axis=1)
-    assert odds.shape[0] == 8 * (4 + 5 + 5 + 1)
-    scores = m.token_scores(model, [*tokens, b"zz"])
+        np.add.at(counts[p], bits.cells[p] * 2 + bits.bit, times[bits.token])
+    tables = m.tables_of(counts, table_bits)
+    online = m.OnlinePass(m.first_mixer(), 0.15)
+    for _ in range(20):
+        online.step(tables, tokens, times)
+    return m, tables, m.Mixer(online.weights, online.refined)
+
+
+def test_probabilities_add_up():
+    """After every beginning the probabilities of all 256 next bytes sum to one."""
+    words = [b"the", b"then", b"this", b""]
+    m, tables, mixer = small_model(words, np.array([5.0, 3.0, 2.0, 4.0]))
+    for start in (b"", b"t", b"th", b"the", b"zq"):
+        tokens = [start + bytes([b]) for b in range(256)]
+        bits = m.decisions(tokens, tables.table_bits)
+        cost = m.costs(tables, mixer, bits)
+        here = bits.at == len(start)
+        each = np.exp(-np.bincount(bits.token[here], cost[here], 256))
+        assert each.sum() == pytest.approx(1, abs=1e-5)
+    scores = m.token_scores(tables, mixer, [*words, b"zz"])
     assert (scores < 0).all() and scores[0] > scores[4]
+
+
+def test_own_occurrence_is_left_out():
+    """A token seen once is predicted by its own count as if it had never been seen."""
+    m, tables, mixer = small_model([b"qx"], np.array([1.0]), 16)
+    bits = m.decisions([b"qx"], 16)
+    x, _ = m.inputs(tables, bits, without_own=True)
+    assert np.abs(x[:-1]).max() == 0
+    x, _ = m.inputs(tables, bits)
+    assert (np.sign(x[:-1]) == 2 * bits.bit - 1).all()
+
+
+def test_mixer_learns_from_every_task(spark):
+    """The average of the tasks' passes, weighted by the occurrences that moved each number."""
+    m, tables, _ = small_model([b"ab", b"abc"], np.array([3.0, 1.0]))
+    rows = spark.createDataFrame([(b"ab", 3), (b"abc", 1)], "token binary, n_train long")
+    from tracelight.llm.common import sent
+
+    got = m.fit_round(rows.repartition(2, "token"), sent(spark, tables), m.first_mixer(), 0.15)
+    alone = []
+    groups = rows.repartition(2, "token").rdd.glom().map(lambda r: [(bytes(x.token), x.n_train) for x in r])
+    for part in groups.collect():
+        online = m.OnlinePass(m.first_mixer(), 0.15)
+        if part:
+            online.step(tables, [t for t, _ in part], np.array([n for _, n in part], float))
+        alone.append(online)
+    moved = sum(o.moved for o in alone)
+    want = sum(o.weights * o.moved[:, None] for o in alone)
+    for g in range(m.GATES):
+        expected = want[g] / moved[g] if moved[g] else m.first_mixer().weights[g]
+        assert got.weights[g] == pytest.approx(expected)
+
+
+def test_white_space_costs_nothing(spark):
+    from tracelight.llm import context_mixing as m
+
+    rows = [(1, "one two three", True), (2, "one   two \t three", True), (3, None, False), (4, "", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {r.doc_id: r for r in m.score_texts(docs, table_bits=12).collect()}
+    assert got[1].bits_per_byte == pytest.approx(got[2].bits_per_byte)
+    assert got[3].bits_per_byte == got[4].bits_per_byte > 0

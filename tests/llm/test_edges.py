@@ -35,7 +35,7 @@ def contaminated(docs, labels):
 
 def scores(docs, labels):
     return context_mixing.score_texts(
-        docs.withColumn("train", F.lit(True)), table_bits=12, draws=500, hot_tokens=2
+        docs.withColumn("train", F.lit(True)), table_bits=12, hot_tokens=2
     )
 
 

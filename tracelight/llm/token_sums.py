@@ -39,12 +39,13 @@ def count_tokens(docs: DataFrame, make: Splitter) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = make()
+        #: occurrences in texts that are not trained on, in those that are, and documents
         held: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
 
         def flush() -> pa.RecordBatch:
-            n, n_docs, train = held
-            tokens = list(n)
-            counts = ([c[t] for t in tokens] for c in (n, train, n_docs))
+            tokens = list(held[2])
+            counts = np.array([[c.get(t, 0) for t in tokens] for c in held], np.int64)
+            counts[0] += counts[1]
             arrays = [pa.array(tokens, pa.binary()), *(pa.array(c, pa.int64()) for c in counts)]
             for c in held:
                 c.clear()
@@ -53,11 +54,9 @@ def count_tokens(docs: DataFrame, make: Splitter) -> DataFrame:
         for batch in short_batches(batches, "text"):
             for text, train in zip(*columns_of(batch, "text", "train"), strict=True):
                 tokens = split(text or "")
-                held[0].update(tokens)
-                held[1].update(set(tokens))
-                if train:
-                    held[2].update(tokens)
-            if len(held[0]) > FLUSH:
+                held[1 if train else 0].update(tokens)
+                held[2].update(set(tokens))
+            if len(held[2]) > FLUSH:
                 yield flush()
         yield flush()
 
