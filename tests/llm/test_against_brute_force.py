@@ -269,7 +269,7 @@ def small_model(tokens, times, table_bits=10):
     counts = np.zeros((len(m.ORDERS), 2 << table_bits), np.float32)
     bits = m.decisions(tokens, table_bits)
     for p in range(len(m.ORDERS)):
-        np.add.at(counts[p], bits.cells[p] * 2 + bits.bit, times[bits.token])
+        np.add.at(counts[p], bits.cells[p] * 2 + bits.bit, bits.per_decision(times))
     tables = m.tables_of(counts, table_bits)
     online = m.OnlinePass(m.first_mixer(), 0.15)
     for _ in range(20):
@@ -284,7 +284,7 @@ def test_probabilities_add_up():
     for start in (b"", b"t", b"th", b"the", b"zq"):
         tokens = [start + bytes([b]) for b in range(256)]
         bits = m.decisions(tokens, tables.table_bits)
-        cost = m.costs(tables, mixer, bits)
+        cost = bits.per_byte(m.costs(tables, mixer, bits))
         here = bits.at == len(start)
         each = np.exp(-np.bincount(bits.token[here], cost[here], 256))
         assert each.sum() == pytest.approx(1, abs=1e-5)
@@ -292,6 +292,27 @@ def test_probabilities_add_up():
     assert (scores < 0).all() and scores[0] > scores[4]
 
 
+def test_shared_beginnings_change_no_score():
+    """Sorted tokens share steps; each alone shares none."""
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.choice(list(b"abc"), rng.integers(0, 6))) for _ in range(80)]
+    times = rng.integers(1, 9, len(words)).astype(float)
+    m, tables, mixer = small_model(words, times, 12)
+    alone = [m.token_scores(tables, mixer, [w])[0] for w in words]
+    assert m.token_scores(tables, mixer, words) == pytest.approx(alone)
+    order = sorted(range(len(words)), key=words.__getitem__)
+    got = m.token_scores(tables, mixer, [words[i] for i in order])
+    assert got == pytest.approx([alone[i] for i in order])
+    bits = m.decisions([words[i] for i in order], 12)
+    assert len(bits.bit) // 8 == len({(words[i] + b" " if words[i] else b"\n")[: n + 1] for i in order for n in range(len(words[i]) + 1)})
+    weights = collections.Counter()
+    for i in order:
+        spelled = words[i] + b" " if words[i] else b"\n"
+        for n in range(len(spelled)):
+            weights[spelled[: n + 1]] += times[i]
+    assert sorted(bits.per_decision(times[order])[::8]) == sorted(weights.values())
+
+
 def test_own_occurrence_is_left_out():
     """A token seen once is predicted by its own count as if it had never been seen."""
     m, tables, mixer = small_model([b"qx"], np.array([1.0]), 16)
