@@ -26,7 +26,21 @@ def _streams(t: Tables) -> Streams:
     return Streams(t.spark, t.folder)
 
 
-@query("stream_limiter")
+@query(
+    "stream_limiter",
+    # one step a key's attempt, in order of time: which accepted ones its window still holds
+    """WITH RECURSIVE attempt AS (SELECT user_id AS key, event_id, epoch_us(ts::TIMESTAMP) AS t, event_type = 'signup' AS success,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL),
+      fold AS (SELECT key, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS t, []::BIGINT[] AS inside, false AS success
+        FROM attempt WHERE n = 1
+      UNION ALL SELECT a.key, a.n, a.event_id, a.t,
+        list_filter(CASE WHEN len(f.inside) >= 5 THEN f.inside WHEN f.success THEN [] WHEN f.t IS NULL THEN []
+          ELSE list_append(f.inside, f.t) END, lambda h: h > a.t - 21600000000), a.success
+        FROM fold f JOIN attempt a ON a.key = f.key AND a.n = f.n + 1)
+    SELECT key, event_id, t, len(inside) < 5 AS allowed, greatest(5 - len(inside), 0)::BIGINT AS remaining,
+      CASE WHEN len(inside) < 5 THEN 0 ELSE ceil((inside[1] - (t - 21600000000)) / 1e6) END::BIGINT AS retry_after
+    FROM fold WHERE n > 0""",
+)
 def _(t: Tables):
     events = _streams(t).events.select(
         F.col("user_id").alias("key"),
