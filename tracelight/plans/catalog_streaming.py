@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.plans import catalog_ledger as ledger
@@ -26,10 +27,8 @@ def _streams(t: Tables) -> Streams:
     return Streams(t.spark, t.folder)
 
 
-@query(
-    "stream_limiter",
-    # one step a key's attempt, in order of time: which accepted ones its window still holds
-    """WITH RECURSIVE attempt AS (SELECT user_id AS key, event_id, epoch_us(ts::TIMESTAMP) AS t, event_type = 'signup' AS success,
+#: one step a key's attempt, in order of time: which accepted ones its window still holds
+LIMITER_SQL = """WITH RECURSIVE attempt AS (SELECT user_id AS key, event_id, epoch_us(ts::TIMESTAMP) AS t, event_type = 'signup' AS success,
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL),
       fold AS (SELECT key, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS t, []::BIGINT[] AS inside, false AS success
         FROM attempt WHERE n = 1
@@ -39,19 +38,32 @@ def _streams(t: Tables) -> Streams:
         FROM fold f JOIN attempt a ON a.key = f.key AND a.n = f.n + 1)
     SELECT key, event_id, t, len(inside) < 5 AS allowed, greatest(5 - len(inside), 0)::BIGINT AS remaining,
       CASE WHEN len(inside) < 5 THEN 0 ELSE ceil((inside[1] - (t - 21600000000)) / 1e6) END::BIGINT AS retry_after
-    FROM fold WHERE n > 0""",
-)
-def _(t: Tables):
-    events = _streams(t).events.select(
+    FROM fold WHERE n > 0"""
+
+
+def _attempts(t: Tables) -> DataFrame:
+    return _streams(t).events.filter("user_id IS NOT NULL").select(
         F.col("user_id").alias("key"),
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
         (F.col("event_type") == "signup").alias("success"),
     )
-    decisions = jobs.stream_limiter(events, limit=5, window_seconds=6 * 3600)
+
+
+@query("stream_limiter", LIMITER_SQL)
+def _(t: Tables):
+    decisions = jobs.stream_limiter(_attempts(t), limit=5, window_seconds=6 * 3600)
     return jobs.run_available(decisions, jobs.scratch(t.spark)).drop("batch")
 
 
+@query("stream_limiter_ordered", LIMITER_SQL)
+def _(t: Tables):
+    # no order of the table's files is known: attempts wait for up to ten years
+    return jobs.limited_to_the_end(
+        _attempts(t), jobs.scratch(t.spark), 5, 6 * 3600, "3650 days"
+    ).drop("batch")
+
+
 @query(
     "stream_usage",
     f"""WITH {src.CALLS_SQL} SELECT strftime(date_trunc('month', created_at), '%Y-%m-%d') AS period, item_id AS owner, count(*) AS n,
